@@ -31,5 +31,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand_pairs(members, links).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.markup import markup_to_text
+
+    pages = latest(table(spark, sf_dir, "handwritten_pages"), ["page_id"], ["structured_markdown", "transcript"])
+    found = markup_to_text(pages, "page_id", ["structured_markdown", "transcript"]).select(F.col("id").alias("page_id"), "field", F.explode("elements").alias("e"))
+    return found.select("page_id", "field", F.col("e.ordinal").alias("ordinal"), F.col("e.kind").alias("kind"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
 SQL: dict[str, str] = {}
