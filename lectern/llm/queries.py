@@ -39,5 +39,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "field", F.col("e.ordinal").alias("ordinal"), F.col("e.kind").alias("kind"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    blocks = latest(table(spark, sf_dir, "ocr_blocks"), ["block_uid"], ["document_id", "page", "block_id", "block_type", "raw_text", "text"])
+    pages = latest(table(spark, sf_dir, "handwritten_pages"), ["page_id"], ["source_file", "page_number", "transcript"])
+    return blocks, pages
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.scans import scan_noise
+
+    return scan_noise(*_scans(spark, sf_dir)).select("rec_kind", "rec_id", "line_no", "noise").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.scans import repair_pages
+
+    return repair_pages(*_scans(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired}
 SQL: dict[str, str] = {}
