@@ -38,7 +38,7 @@ TOKEN = re.compile(r"[^\W_]+(?:[@!|+$€][^\W_]+)*|[@!|+$€][^\W_]{2,}(?:[@!|+$
 CONFUSED = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"), ("6", "b"), ("7", "t"), ("8", "b"), ("9", "g"), ("2", "z"),
     ("@", "a"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("+", "t"), ("$", "s"), ("€", "e"),
-    ("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("ii", "n"), ("iii", "in"), ("iii", "ni"), ("iii", "m"), ("li", "h"), ("ri", "n"), ("c", "e"), ("n", "ri"), ("h", "li"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("e", "c"), ("l", "i"), ("lc", "k"), ("f", "t"), ("b", "h"), ("h", "b"),
+    ("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("ii", "n"), ("iii", "in"), ("iii", "ni"), ("iii", "m"), ("li", "h"), ("ri", "n"), ("c", "e"), ("n", "ri"), ("h", "li"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("e", "c"),
 ]
 
 
@@ -130,7 +130,7 @@ def header_words(pages: DataFrame, repeated: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"bucket": at, "n": count[at]})
 
     plain = pages.select("parts").mapInPandas(body, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    heads = repeated.where(F.col("pages") >= 3).select(F.explode(F.split("key", " ")).alias("w"), "pages")
+    heads = repeated.where((F.col("pages") >= 3) & (F.col("pages") >= 0.5 * F.col("of"))).select(F.explode(F.split("key", " ")).alias("w"), "pages")
     heads = heads.groupBy(F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(WORD_BUCKETS)).alias("bucket")).agg(F.sum("pages").alias("n"))
     a, b = np.zeros(WORD_BUCKETS), np.zeros(WORD_BUCKETS)
     for r in heads.collect():
@@ -163,13 +163,13 @@ def label_lines(ls: list[tuple[int, int, str, str, int]], repeats: int, offset:
         agrees = offset is not None and page is not None and n == page + offset
         if i in (top, bottom) and len(x) <= 120 and re.search(r"[^\W\d_]{2}", x) and shape not in ("marked", "bare", "roman"):
             s = float(np.clip(np.mean([odds[_bucket(w)] for w in ws]) * 2.5, -6, 6)) if ws else -6.0
-            s += (2.0 + 1.5 * min(repeats - 2, 2)) if i == top and repeats >= 2 and len(ws) >= 2 else 0
+            s += (1.0 + 1.5 * min(repeats - 2, 2)) if i == top and repeats >= 2 and len(ws) >= 2 else 0
             s += 3.0 if shape == "inside" else 0
-            s += 1.0 if re.search(r"\S\s{3,}\S", x) or " · " in x else 0
+            s += 2.5 if re.search(r"\S\s{3,}\S", x) or " · " in x else 0
             s -= 4.0 if re.search(r"[.!?]\s*$", x) else 0
             s -= 3.0 if len(ws) > 10 else 0
-            s -= 3.0 if re.match(r"\s*(?:[#=<\\*|$]|&(?:amp;)*lt;)", x) else 0
-            score[i, HEADER] = s - (5 if i != top else 0) - (2 if kind in ("code", "list_item") else 0)
+            s -= 3.0 if re.match(r"\s*(?:[#=<\\*|$]|&(?:amp;)*lt;|\d+[.)]\s)", x) else 0
+            score[i, HEADER] = s - (5 if i != top else 0) - (5 if kind in ("code", "list_item") else 0)
         if shape and shape != "inside":
             s = {"marked": 7.0, "roman": 4.0, "bare": 1.5}[shape] + (5.0 if agrees else 0)
             if i not in (top, bottom):
@@ -282,7 +282,10 @@ def scan_noise(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """
     held = materialize(scan_lines(blocks, pages), "scan-pages")
     ends = materialize(held.mapInPandas(_ends, "rec_kind string, doc string, page long, key string, offset long"), "scan-ends")
+    size = ends.groupBy("rec_kind", "doc").agg(F.count_distinct("page").alias("of"))
     repeated = ends.where(F.col("key") != "").groupBy("rec_kind", "doc", "key").agg(F.count_distinct("page").alias("pages")).where("pages >= 2")
+    # a running header stands on a good part of its document's pages; a heading comes again now and then
+    repeated = repeated.join(size, ["rec_kind", "doc"]).where(F.col("pages") >= 0.3 * F.col("of"))
     offsets = ends.where(F.col("offset").isNotNull()).groupBy("rec_kind", "doc", "offset").agg(F.count("*").alias("n")).where("n >= 2")
     offsets = offsets.groupBy("rec_kind", "doc").agg(F.max_by("offset", "n").alias("offset"))
     odds = header_words(held, repeated)
