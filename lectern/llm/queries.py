@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import latest, table
+from lectern.session import latest, materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +57,44 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_pages(*_scans(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired}
+def language_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``table_name, rec_key, label, kind, text, lang`` of segments, pages and the chunks of videos."""
+    from lectern.llm.languages import canonical
+
+    seg = latest(table(spark, sf_dir, "segments"), ["lecture_id", "segment_index"], ["language", "text"])
+    seg = seg.select(F.lit("segments").alias("table_name"), F.concat_ws("#", "lecture_id", F.col("segment_index").cast("string")).alias("rec_key"), F.col("language").alias("label"), F.lit("speech").alias("kind"), "text")
+    pages = latest(table(spark, sf_dir, "handwritten_pages"), ["page_id"], ["language", "transcript"])
+    pages = pages.select(F.lit("handwritten_pages").alias("table_name"), F.col("page_id").cast("string").alias("rec_key"), F.col("language").alias("label"), F.lit("page").alias("kind"), F.col("transcript").alias("text"))
+    videos = table(spark, sf_dir, "video_meta").groupBy("video_id").agg(F.max("transcript_language").alias("label"))
+    chunks = latest(table(spark, sf_dir, "youtube_chunks"), ["chunk_id"], ["video_id", "raw_text"])
+    # a stream may hold a third of all chunks: its label is joined to salted keys
+    salt = F.pmod(F.hash("chunk_id"), F.lit(16)).alias("salt")
+    chunks = chunks.select("video_id", "raw_text", salt).join(videos.select("video_id", "label", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")), ["video_id", "salt"])
+    chunks = chunks.select(F.lit("video_meta").alias("table_name"), F.col("video_id").alias("rec_key"), "label", F.lit("caption").alias("kind"), F.col("raw_text").alias("text"))
+    return seg.unionByName(pages).unionByName(chunks).withColumn("lang", canonical(F.col("label")))
+
+
+def languages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record: ``table_name, rec_key, lang`` (of the label), ``main, confidence, pieces``; videos by the words of all their chunks."""
+    from lectern.llm.languages import LANGS, detect_languages, train
+
+    records = language_records(spark, sf_dir)
+    found = materialize(detect_languages(records.select("table_name", "rec_key", "kind", "text", "lang"), train(records)), "languages")
+    short = found.where("table_name <> 'video_meta'").select("table_name", "rec_key", "lang", "main", "confidence", "pieces")
+    sums = [F.sum(F.col("counts")[i]).alias(x) for i, x in enumerate(LANGS)]
+    by_video = found.where("table_name = 'video_meta' and main is not null").groupBy("table_name", "rec_key").agg(F.max("lang").alias("lang"), *sums)
+    most = F.array_max(F.array(*[F.struct(F.col(x).alias("n"), F.lit(-i).alias("order"), F.lit(x).alias("x")) for i, x in enumerate(LANGS)]))
+    total = sum((F.col(x) for x in LANGS[1:]), F.col(LANGS[0]))
+    by_video = by_video.select("table_name", "rec_key", "lang", most["x"].alias("main"), (most["n"] / total).alias("confidence"), F.array().cast("array<struct<lang:string,words:int>>").alias("pieces"))
+    return short.unionByName(by_video)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = languages_of(spark, sf_dir).where(F.col("main").isNotNull())
+    wrong = found.where(~F.col("lang").eqNullSafe(F.col("main"))).select("table_name", "rec_key", F.lit(0).alias("piece"), F.col("main").alias("lang"))
+    mixed = found.where(F.size("pieces") > 1).select("table_name", "rec_key", F.posexplode("pieces").alias("i", "p")).select("table_name", "rec_key", (F.col("i") + 1).alias("piece"), F.col("p.lang").alias("lang"))
+    return wrong.unionByName(mixed).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found}
 SQL: dict[str, str] = {}
