@@ -96,5 +96,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.unionByName(mixed).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.languages import canonical, train
+    from lectern.llm.pairs import pair_defects
+
+    pairs = latest(table(spark, sf_dir, "chat_history"), ["id"], ["message", "response", "sources"], at="created_at")
+    labelled = table(spark, sf_dir, "handwritten_pages").select(F.lit("page").alias("kind"), F.col("transcript").alias("text"), canonical(F.col("language")).alias("lang"))
+    return pair_defects(pairs.where(F.col("id").isNotNull()), train(labelled)).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
