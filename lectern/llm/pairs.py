@@ -30,7 +30,7 @@ DECLINES = re.compile(
     r"|\bI found nothing\b|\bnichts (?:\w+ ){0,3}gefunden\b|\bno (?:he encontrado|encontré) nada\b|\bn'ai rien trouvé\b|\bnão encontrei nada\b"
     r"|\bno puedo (?:ayudar|responder|contestar)|\b(?:debo|tengo que) (?:rechazar|declinar)"
     r"|\bne peux pas\b|\bdois (?:refuser|décliner)|\bne suis pas en mesure"
-    r"|\bkann ich (?:\w+ ){0,4}nicht\b|\bich kann (?:\w+ ){0,4}nicht (?:helfen|beantworten)|\bmuss (?:ich )?(?:\w+ ){0,3}ablehnen|\bnicht (?:helfen|beantworten)\b"
+    r"|\bdarf ich keine Auskunft\b|\bkann ich (?:\w+ ){0,4}nicht\b|\bich kann (?:\w+ ){0,4}nicht (?:helfen|beantworten)|\bmuss (?:ich )?(?:\w+ ){0,3}ablehnen|\bnicht (?:helfen|beantworten)\b"
     r"|\bnão (?:consigo|posso) (?:responder|ajudar)|\b(?:preciso|tenho de|tenho que|devo) recusar",
     re.I,
 )
@@ -47,6 +47,9 @@ CITED = re.compile(r"(?<![\w\]])\[\s*(\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*)\s*\]|(?
 SPEAKS_FIRST = re.compile(r"^\s*(?:q|question|you asked|your question(?: was)?|frage|pregunta|pergunta|vous avez demandé)\s*:?\s*", re.I)
 
 
+STATEMENT = re.compile(r"(?<=[.!?])\s+|\n{2,}")
+
+
 def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
@@ -143,11 +146,12 @@ def _features(shared):
                 elif copies(message, response):
                     found.append("copies_question")
                 else:
-                    sentences = [s for s in SENTENCE.split(response.strip()) if WORD.search(s)]
+                    sentences = [s for s in STATEMENT.split(response.strip()) if WORD.search(s)]
                     opening = sentences[0] if sentences else ""
-                    declines = bool(DECLINES.search(opening))
+                    how = DECLINES.search(opening)
+                    declines = how is not None
                     rest = [s for s in sentences[1:] if not COURTESY.search(s) and not DECLINES.search(s)]
-                    bare = not any(len(_words(s)) >= 4 for s in rest) and not GOES_ON.search(opening)
+                    bare = not any(len(_words(s)) >= 4 for s in rest) and not GOES_ON.search(opening, how.end() if how else 0)
                     if is_truncated(response):
                         found.append("truncated")
                     asked = ASKED.search(message)

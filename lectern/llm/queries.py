@@ -105,5 +105,51 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(pairs.where(F.col("id").isNotNull()), train(labelled)).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found}
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    windows = table(spark, sf_dir, "context_windows").where("window_name is not null and capacity_tokens > 0").limit(1000).collect()
+    return {r["window_name"]: int(r["capacity_tokens"]) for r in windows}
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.packing import default_tokenizer, pack_documents, token_counts
+
+    sized = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), default_tokenizer(), out="size")
+    packed = pack_documents(sized.select(F.col("doc_id").alias("item"), "size"), _capacities(spark, sf_dir))
+    return packed.select("window", "container", F.col("item").cast("long").alias("doc_id"), "part", F.col("size").alias("tokens"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.packing import fill_report
+
+    packed = p8_containers(spark, sf_dir).select("window", "container", F.col("doc_id").alias("item"), "part", F.col("tokens").alias("size"))
+    return fill_report(packed, _capacities(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from lectern.llm.languages import canonical
+    from lectern.llm.mixing import mix_sources
+    from lectern.llm.packing import default_tokenizer, token_counts
+
+    topics = table(spark, sf_dir, "courses").groupBy("course_id").agg(F.max("subject").alias("topic"))
+    docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "course_id", "text"), default_tokenizer())
+    docs = docs.join(topics, "course_id", "left").select("doc_id", "source", canonical(F.col("lang")).alias("lang"), "topic", "tokens")
+    return mix_sources(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.subjects import subject_shares, subjects_of
+
+    shares = subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subject_areas"))
+    return subjects_of(shares).select("doc_id", "subject")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {}
