@@ -121,7 +121,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, shard_rows: int = 20_000, c
 
 def _shares(out: DataFrame, targets: DataFrame) -> DataFrame:
     used = out.groupBy("source").agg(F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    total = out.agg(F.sum(F.col("tokens") * F.col("copies")).alias("all_tokens"))
     zero = F.lit(0).cast("long")
-    x = targets.select("source", "target_share", "max_repeats").join(used, "source", "left").crossJoin(F.broadcast(total))
+    x = targets.select("source", "target_share", "max_repeats").join(used, "source", "left")
+    x = x.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # one row per source
     return x.select("source", "target_share", "max_repeats", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("documents", zero).alias("documents"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce(F.round(F.col("tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("share"))
