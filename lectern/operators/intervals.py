@@ -47,37 +47,65 @@ class RunBitmap:
         return cls(a[:, 0], a[:, 1] + 1)
 
 
+#: Groups of a batch are kept apart by this offset, so that one pass over all runs unites each group for itself.
+APART = 1 << 33
+
+
+def unite_groups(group: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of each group united: (group, start, end) in order; starts and ends are within ``[0, 2**32]``."""
+    b = RunBitmap.of(starts + group * APART, ends + group * APART)
+    g = b.starts // APART
+    return g, b.starts - g * APART, b.ends - g * APART
+
+
+def _to_maps(group: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[bytes]:
+    """Compressed bitmaps of groups 0 to n - 1 from united runs."""
+    flat = np.stack([starts, ends - 1], axis=1).astype("<u4")
+    cut = np.searchsorted(group, np.arange(n + 1))
+    return [flat[cut[i] : cut[i + 1]].tobytes() for i in range(n)]
+
+
+def _from_maps(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of all runs of rows that each hold a list of compressed bitmaps."""
+    joined = [b"".join(x) for x in lists]
+    runs = np.frombuffer(b"".join(joined), "<u4").reshape(-1, 2).astype(np.int64)
+    return np.repeat(np.arange(len(joined)), [len(x) // 8 for x in joined]), runs[:, 0], runs[:, 1] + 1
+
+
 def _build(bits: int):
     def build(batches):
         """Bitmaps of a task's rows: one per entity and shard in each batch."""
         for pdf in batches:
-            rows = []
-            for (entity, shard), g in pdf.groupby(["__entity", "__shard"], sort=False):
-                low = int(shard) << bits
-                b = RunBitmap.of(np.maximum(g["__s"].to_numpy() - low, 0), np.minimum(g["__e"].to_numpy() - low, 1 << bits))
-                rows.append((entity, int(shard), b.to_bytes()))
-            yield pd.DataFrame(rows, columns=["__entity", "__shard", "__map"])
+            if not len(pdf):
+                continue
+            low = pdf["__shard"].to_numpy(np.int64) << bits
+            group, keys = pd.factorize(pd.MultiIndex.from_arrays([pdf["__entity"], pdf["__shard"]]))
+            s, e = np.maximum(pdf["__s"].to_numpy(np.int64) - low, 0), np.minimum(pdf["__e"].to_numpy(np.int64) - low, 1 << bits)
+            maps = _to_maps(*unite_groups(group.astype(np.int64), s, e), len(keys))
+            yield pd.DataFrame({"__entity": keys.get_level_values(0), "__shard": keys.get_level_values(1), "__map": maps})
 
     return build
 
 
-def _unite(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    b = RunBitmap.union([RunBitmap.from_bytes(x) for x in pdf["__map"]])
-    return pd.DataFrame({"__entity": [key[0]], "__shard": [key[1]], "__map": [b.to_bytes()]})
+def _unite(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"__entity": pdf["__entity"], "__shard": pdf["__shard"], "__map": _to_maps(*unite_groups(*_from_maps(pdf["__maps"])), len(pdf))})
 
 
 def _runs(bits: int):
-    def runs(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Set and clear runs of one shard; ``edge`` marks the set runs that another shard may continue."""
-        b, low = RunBitmap.union([RunBitmap.from_bytes(x) for x in pdf["__map"]]), int(key[1]) << bits
-        n = len(b.starts)
-        edge = np.zeros(n, bool)
-        edge[[0, -1]] = True
-        sets = pd.DataFrame({"kind": "period", "edge": edge, "s": b.starts + low, "e": b.ends + low})
-        clear = pd.DataFrame({"kind": "gap", "edge": False, "s": b.ends[:-1] + low, "e": b.starts[1:] + low})
-        out = pd.concat([sets, clear], ignore_index=True)
-        out.insert(0, "__entity", key[0])
-        return out
+    def runs(batches):
+        """Set and clear runs of each shard; ``edge`` marks the set runs that another shard may continue."""
+        for pdf in batches:
+            row, s, e = unite_groups(*_from_maps(pdf["__maps"]))
+            if not len(row):
+                continue
+            low = (pdf["__shard"].to_numpy(np.int64) << bits)[row]
+            change = row[1:] != row[:-1]
+            edge = np.concatenate(([True], change)) | np.concatenate((change, [True]))
+            entity = pdf["__entity"].to_numpy()[row]
+            inner = np.nonzero(~change)[0]
+            yield pd.DataFrame({"__entity": entity, "kind": "period", "edge": edge, "s": s + low, "e": e + low})
+            yield pd.DataFrame({"__entity": entity[inner], "kind": "gap", "edge": False, "s": (e + low)[inner], "e": (s + low)[inner + 1]})
 
     return runs
 
@@ -105,8 +133,9 @@ def periods_and_gaps(df: DataFrame, entity: str, start_unit: Column, end_unit: C
     cut = rows.select("__entity", "__s", "__e", F.explode(F.sequence(first, last)).alias("__shard"))
     kind = f"__entity {entity_type}, __shard long, __map binary"
     maps = cut.mapInPandas(_build(shard_bits), kind)
-    salted = maps.groupBy("__entity", "__shard", (F.spark_partition_id() % salts).alias("__salt")).applyInPandas(lambda k, p: _unite(k, p), kind)
-    runs = salted.groupBy("__entity", "__shard").applyInPandas(_runs(shard_bits), f"__entity {entity_type}, kind string, edge boolean, s long, e long")
+    listed = F.collect_list("__map").alias("__maps")
+    salted = maps.groupBy("__entity", "__shard", (F.spark_partition_id() % salts).alias("__salt")).agg(listed).drop("__salt").mapInPandas(_unite, kind)
+    runs = salted.groupBy("__entity", "__shard").agg(listed).mapInPandas(_runs(shard_bits), f"__entity {entity_type}, kind string, edge boolean, s long, e long")
     along = Window.partitionBy("__entity").orderBy("s")
     chained = runs.where("edge").withColumn("new", F.coalesce(F.lag("e").over(along) < F.col("s"), F.lit(True)).cast("int"))
     chained = chained.withColumn("chain", F.sum("new").over(along)).withColumn("next", F.lead("s").over(along))
