@@ -26,8 +26,9 @@ NAMES = {
     "en": ["en", "eng", "english", "englisch", "anglais", "inglés", "inglês"], "de": ["de", "deu", "ger", "german", "deutsch"], "es": ["es", "spa", "spanish", "español", "castellano"],
     "fr": ["fr", "fra", "fre", "french", "français"], "pt": ["pt", "por", "portuguese", "português"],
 }
-HESITATIONS = re.compile(r"(?<![\w-])(?:u+h+m*|e+r+m+|a+h+m*|ä+h+m*|ö+h+m*|e+u+h+|h+m+|mm+-?hm+|mhm|uhm)(?![\w-])(?:\.{2,3}|,)?|(?<![\w-])(?:um+|er)(?:\.{2,3}|,)", re.I)
+HESITATION = re.compile(r"u+h+m*|u+m+|e+r+m*|a+h+|ä+h+m*|ö+h+m*|e+u+h+|e+h+m*|h+m+|m+h*m*")
 SOUNDS = re.compile(r"\[[^\[\]\n]{0,60}\]|\{[^{}\n]{0,60}\}|<[^<>\n]{0,60}>|\*[^*\n]{1,40}\*|[♪♫]|\((?:inaudible|unclear|laugh\w*|sigh\w*|cough\w*|applause|music|noise|\d{1,2}:\d\d)[^()\n]{0,20}\)", re.I)
+PLAIN = frozenset("[{(<*♪♫\"“«„")
 TIMES = re.compile(r"\d{1,2}(?::\d{2}){1,2}(?:[.,]\d{1,3})?\s*(?:-->|-)?")
 QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|„[^“”\n]{1,80}[“”]")
 LABEL = re.compile(r"(?:^|\n|>>|--)\s*(?:(?:speaker|spk)[\s_#-]*\d+|(?:dr|prof)\.\s+\w+\s\w+)\s*(?::|\s-\s)", re.I)
@@ -51,14 +52,18 @@ def _grams(word: str) -> list[int]:
 
 
 def _spoken(s: str) -> bool:
-    """Whether a sentence holds a word; 'um' and 'er' alone are hesitations."""
-    return any(w.lower() not in ("um", "er") for w in WORD.findall(s))
+    """Whether a sentence holds a word that is no hesitation."""
+    ws = WORD.findall(s)
+    return len(ws) > 6 or any(not HESITATION.fullmatch(w.lower()) for w in ws)
 
 
 def speech_sentences(text: str) -> list[str]:
-    """Sentences of a spoken segment without labels, times, sounds, hesitations and quoted terms."""
-    t = SOUNDS.sub(" ", TIMES.sub(" ", LABEL.sub("\n\n", text)))
-    t = QUOTED.sub(" ", HESITATIONS.sub(" ", t))
+    """Sentences of a spoken segment without labels, times, sounds and quoted terms; hesitations are passed over word by word."""
+    t = text
+    if ":" in t or " - " in t:
+        t = TIMES.sub(" ", LABEL.sub("\n\n", t))
+    if not PLAIN.isdisjoint(t):
+        t = QUOTED.sub(" ", SOUNDS.sub(" ", t))
     return [s for s in SENTENCE.split(t) if _spoken(s)]
 
 
@@ -91,48 +96,89 @@ def caption_sentences(text: str) -> list[str]:
 SENTENCES = {"speech": speech_sentences, "page": page_sentences, "caption": caption_sentences}
 
 
-def train(records: DataFrame) -> np.ndarray:
-    """Log probabilities ``[bucket, language]`` from all records (``kind, text, lang``) that have a usable label."""
+def train(records: DataFrame, sample: int = 40_000) -> np.ndarray:
+    """Log probabilities ``[bucket, language]`` from labelled records (``rec_key, kind, text, lang``).
+
+    All of them are counted up to ``sample``; of more, those with the lowest hashes of their keys, about ``sample`` in number. Records
+    whose label is unusable or whose text is null are no examples.
+    """
+    labelled = records.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    n = labelled.count()
+    if n > sample:
+        labelled = labelled.where(F.pmod(F.xxhash64("rec_key", "text"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
 
     def count(batches):
+        grams: dict[str, np.ndarray] = {}
+        words = {x: Counter() for x in LANGS}
         for pdf in batches:
-            rows = []
-            for lang, g in pdf.groupby("lang"):
-                words = Counter(w for k, t in zip(g["kind"], g["text"]) for s in SENTENCES[k](t) for w in WORD.findall(s.lower()))
-                buckets = np.zeros(BUCKETS, np.int64)
-                for w, n in words.items():
-                    np.add.at(buckets, _grams(w), n)
-                at = np.nonzero(buckets)[0]
-                rows.append(pd.DataFrame({"lang": lang, "bucket": at, "n": buckets[at]}))
-            yield pd.concat(rows) if rows else pd.DataFrame({"lang": [], "bucket": [], "n": []})
-
-    counted = records.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("kind", "text", "lang").mapInPandas(count, "lang string, bucket long, n long")
+            for lang, kind, text in zip(pdf["lang"], pdf["kind"], pdf["text"]):
+                for s in SENTENCES[kind](text):
+                    words[lang].update(w for w in WORD.findall(s.lower()) if w not in UNCOUNTED)
+        for lang, found in words.items():
+            buckets = np.zeros(BUCKETS, np.int64)
+            for w, k in found.items():
+                g = grams.get(w)
+                if g is None:
+                    g = grams[w] = np.array(_grams(w))
+                np.add.at(buckets, g, k)
+            at = np.nonzero(buckets)[0]
+            yield pd.DataFrame({"lang": lang, "bucket": at, "n": buckets[at]})
+
+    counted = labelled.select("kind", "text", "lang").mapInPandas(count, "lang string, bucket long, n long")
     got = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     n = np.full((BUCKETS, len(LANGS)), 0.2)
     n[got["bucket"].to_numpy(np.int64), got["lang"].map(LANGS.index).to_numpy(np.int64)] += got["n"].to_numpy(float)
     return np.log(n / n.sum(axis=0)).astype(np.float32)
 
 
+#: Hesitations that are words in one of the languages tell nothing about a language.
+UNCOUNTED = frozenset(["um", "er", "uh", "ah", "eh", "erm", "uhm", "hmm", "mm", "hm", "euh", "äh"])
+
+
 class Scorer:
-    """Log likelihoods of sentences; words are scored once and remembered, up to ``most`` of them."""
+    """Log likelihoods of sentences. Words are scored once and remembered, up to ``most`` of them; hesitations count nothing."""
 
     def __init__(self, model: np.ndarray, most: int = 200_000):
-        self.model, self.most, self.known = model, most, {}
-
-    def word(self, w: str) -> np.ndarray:
-        v = self.known.get(w)
-        if v is None:
+        self.model, self.most = model, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.vectors, self.counts = np.zeros((1024, len(LANGS))), np.zeros(1024)
+
+    def _index(self, w: str) -> int:
+        i = len(self.known)
+        if i == len(self.counts):
+            self.vectors, self.counts = np.concatenate([self.vectors, np.zeros_like(self.vectors)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
+        if not (w in UNCOUNTED or HESITATION.fullmatch(w)):
             g = self.model[_grams(w)]
             # n-grams overlap: they count as about two independent ones a word
-            v = 2.0 * (g - g.max(axis=1, keepdims=True)).mean(axis=0).astype(np.float64)
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[w] = v
-        return v
+            self.vectors[i], self.counts[i] = 2.0 * (g - g.max(axis=1, keepdims=True)).mean(axis=0), 1
+        self.known[w] = i
+        return i
+
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``[sentence, language]`` and the number of words of each."""
+        if len(self.known) > self.most:
+            self.clear()
+        known, ids, lens = self.known, [], []
+        for s in texts:
+            ws = WORD.findall(s.lower())
+            ids += [known[w] if w in known else self._index(w) for w in ws]
+            lens.append(len(ws))
+        like, words = np.zeros((len(texts), len(LANGS))), np.zeros(len(texts), np.int64)
+        lens = np.array(lens)
+        full = np.nonzero(lens)[0]
+        if len(full):
+            starts = np.concatenate(([0], np.cumsum(lens[full])[:-1]))
+            flat = np.array(ids)
+            like[full] = np.add.reduceat(self.vectors[flat], starts, axis=0)
+            words[full] = np.add.reduceat(self.counts[flat], starts).astype(np.int64)
+        return like, words
 
     def sentence(self, s: str) -> tuple[np.ndarray, int]:
-        ws = WORD.findall(s.lower())
-        return (np.sum([self.word(w) for w in ws], axis=0) if ws else np.zeros(len(LANGS))), len(ws)
+        like, words = self.sentences([s])
+        return like[0], int(words[0])
 
 
 def _mixture(like: np.ndarray, weight: np.ndarray, langs: tuple[int, ...], rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -154,9 +200,14 @@ def infer(like: np.ndarray, words: np.ndarray, penalty: float, change: float) ->
     sums = like.sum(axis=0)
     best = (int(sums.argmax()),)
     score = float(sums.max())
-    if len(like) > 1:
+    # no mixture is likelier than each sentence in its own best language
+    if len(like) > 1 and like.max(axis=1).sum() - score >= penalty:
+        gain = np.maximum(like - like[:, best[0]][:, None], 0).sum(axis=0)
+        able = [j for j in range(like.shape[1]) if j == best[0] or gain[j] >= penalty / 2]
         for size in (2, 3):
-            options = [(c, *_mixture(like, words, c)) for c in combinations(range(like.shape[1]), size) if set(best) <= set(c)]
+            options = [(c, *_mixture(like, words, c)) for c in combinations(able, size) if set(best) <= set(c)]
+            if not options:
+                break
             c, p, ll = max(options, key=lambda o: o[2])
             if ll - score < penalty:
                 break
@@ -182,24 +233,26 @@ def _detect(shared, penalty: float, change: float):
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = Scorer(shared.value)
         for pdf in batches:
-            found = []
-            for kind, text in zip(pdf["kind"], pdf["text"]):
-                sents = SENTENCES[kind](text) if text else []
-                scored = [x for x in map(score.sentence, sents) if x[1]]
-                if not scored:
+            texts = [SENTENCES[kind](text) if text else [] for kind, text in zip(pdf["kind"], pdf["text"])]
+            like_all, words_all = score.sentences([s for t in texts for s in t])
+            at, found = 0, []
+            for t in texts:
+                like, words = like_all[at : at + len(t)], words_all[at : at + len(t)]
+                at += len(t)
+                if not words.all():
+                    like, words = like[words > 0], words[words > 0]
+                if not len(words):
                     found.append((None, None, [], None))
                     continue
-                like, words = np.array([x[0] for x in scored]), np.array([x[1] for x in scored])
                 path, posterior = infer(like, words, penalty, change)
                 count = np.bincount(path, weights=words, minlength=len(LANGS))
                 main = int(count.argmax())
-                pieces = [{"lang": LANGS[a], "words": int(words[i])} for i, a in enumerate(path)]
                 runs = []
-                for x in pieces:
-                    if runs and runs[-1]["lang"] == x["lang"]:
-                        runs[-1]["words"] += x["words"]
+                for lang, n in zip(path, words):
+                    if runs and runs[-1]["lang"] == LANGS[lang]:
+                        runs[-1]["words"] += int(n)
                     else:
-                        runs.append(dict(x))
+                        runs.append({"lang": LANGS[lang], "words": int(n)})
                 confidence = float(posterior[main]) if len(runs) == 1 else float(count[main] / count.sum())
                 found.append((LANGS[main], confidence, runs, count.astype(int).tolist()))
             out = pdf.drop(columns=["text", "kind"])

@@ -101,8 +101,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.pairs import pair_defects
 
     pairs = latest(table(spark, sf_dir, "chat_history"), ["id"], ["message", "response", "sources"], at="created_at")
-    labelled = table(spark, sf_dir, "handwritten_pages").select(F.lit("page").alias("kind"), F.col("transcript").alias("text"), canonical(F.col("language")).alias("lang"))
-    return pair_defects(pairs.where(F.col("id").isNotNull()), train(labelled)).distinct()
+    labelled = table(spark, sf_dir, "handwritten_pages").select(F.col("page_id").cast("string").alias("rec_key"), F.lit("page").alias("kind"), F.col("transcript").alias("text"), canonical(F.col("language")).alias("lang"))
+    return pair_defects(pairs.where(F.col("id").isNotNull()), train(labelled, sample=10_000)).distinct()
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:

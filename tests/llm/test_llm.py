@@ -150,7 +150,7 @@ def model(spark):
     rnd = random.Random(1)
     rows = [("speech", " ".join(sentence(x, rnd) for _ in range(6)), x) for x in WORDS for _ in range(40)]
     rows += [("speech", sentence("en", rnd), "de")] * 3 + [("speech", None, "en")]
-    return languages.train(spark.createDataFrame(rows, "kind string, text string, lang string"))
+    return languages.train(spark.createDataFrame(rows, "kind string, text string, lang string").withColumn("rec_key", F.monotonically_increasing_id().cast("string")))
 
 
 def test_languages(spark, model):
