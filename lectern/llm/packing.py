@@ -39,18 +39,22 @@ def _tokenizer(path: str):
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", out: str = "tokens") -> DataFrame:
-    """Adds the number of tokens of a whole text (null and empty: 0). Equal texts are counted once per batch."""
+    """The columns of ``df`` without ``text``, and the number of tokens of the whole text (null and empty: 0).
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
+    Equal texts are counted once per batch. A map over batches, not an expression, so no plan evaluates it twice.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _tokenizer(path)
-        codes, distinct = pd.factorize(texts.fillna(""))
-        sizes = np.zeros(len(distinct), np.int64)
-        for low in range(0, len(distinct), 256):
-            sizes[low : low + 256] = [len(e.ids) for e in t.encode_batch_fast(list(distinct[low : low + 256]), add_special_tokens=False)]
-        return pd.Series(sizes[codes])
+        for pdf in batches:
+            codes, distinct = pd.factorize(pdf[text].fillna(""))
+            sizes = np.zeros(len(distinct), np.int64)
+            for low in range(0, len(distinct), 256):
+                sizes[low : low + 256] = [len(e.ids) for e in t.encode_batch_fast(list(distinct[low : low + 256]), add_special_tokens=False)]
+            yield pdf.drop(columns=[text]).assign(**{out: sizes[codes]})
 
-    return df.withColumn(out, count(F.col(text)))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in (text, out)]
+    return df.select(*[f.name for f in df.schema if f.name != out]).mapInPandas(count, ", ".join([*kept, f"`{out}` bigint"]))
 
 
 class OpenBins:
@@ -131,13 +135,11 @@ def pack_documents(items: DataFrame, capacities: dict[str, int], open_bins: int
     """
     schema = "window string, container string, item string, part int, size long"
     sized = items.where(F.col("size") > 0).select(F.col("item").cast("string").alias("item"), F.col("size").cast("long").alias("size"))
-    parts = None
-    for w, c in capacities.items():
-        whole = F.floor((F.col("size") - 1) / c).cast("int")
-        n = F.when(F.col("size") > c, whole + 1).otherwise(F.lit(1))
-        x = sized.select(F.lit(w).alias("window"), "item", "size", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
-        x = x.select("window", "item", "part", F.least(F.col("size") - F.col("part") * c, F.lit(c)).alias("size"))
-        parts = x if parts is None else parts.unionByName(x)
+    windows = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.lit(c).alias("cap")) for w, c in capacities.items()])).alias("w")
+    parts = sized.select("item", "size", windows).select("item", "size", "w.window", "w.cap")
+    n = F.floor((F.col("size") - 1) / F.col("cap")).cast("int")
+    parts = parts.select("window", "item", "size", "cap", F.explode(F.sequence(F.lit(0), n)).alias("part"))
+    parts = parts.select("window", "item", "part", F.least(F.col("size") - F.col("part") * F.col("cap"), F.col("cap").cast("long")).alias("size"))
     packed = materialize(parts.mapInPandas(_pack(capacities, open_bins, "a"), schema), "packed")
     # open containers are items themselves; there are at most open_bins of them per task and window
     again = packed.where("part = -1").select("window", F.xxhash64("window", "container").cast("string").alias("item"), F.col("part"), "size")

@@ -152,4 +152,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+P3_SQL = r"""
+WITH c AS (SELECT chunk_id, coalesce(raw_text, '') || ' ' || coalesce(summary, '') AS t FROM (SELECT * FROM youtube_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) = 1) WHERE chunk_id IS NOT NULL),
+w AS (SELECT chunk_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM c),
+s AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
+p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT chunk_id_a, chunk_id_b FROM p JOIN n x ON x.chunk_id = chunk_id_a JOIN n y ON y.chunk_id = chunk_id_b WHERE 2 * shared >= x.n + y.n - shared
+"""
+SQL = {"p3_found": P3_SQL}
