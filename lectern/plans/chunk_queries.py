@@ -9,7 +9,7 @@ from lectern.functions.text import normalise_ocr, slug, time_label, token_estima
 from lectern.operators import chunking as C
 from lectern.operators.sequence import ordinals, previous, sliding_windows
 from lectern.plans.retrieval_queries import LATEST_CHUNKS, STOP_SQL
-from lectern.session import latest, table
+from lectern.session import exact_mean, latest, table
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,21 +26,21 @@ def sliding_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = sliding_windows(_segments(spark, sf_dir), "lecture_id", "ordinal", 6, 2)
     return w.groupBy("lecture_id", "window_index").agg(
         F.count("*").alias("segments"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"), F.min("start_seconds").alias("start_seconds"), F.sum(word_count(F.col("text"))).alias("words"),
-        F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.min("confidence").alias("min_confidence"), F.max("is_unclear").alias("has_unclear"))
+        exact_mean("confidence").alias("avg_confidence"), F.min("confidence").alias("min_confidence"), F.max("is_unclear").alias("has_unclear"))
 
 
 WINDOW_SQL = f"""
 WITH s AS (SELECT *, max(ordinal) OVER (PARTITION BY lecture_id) AS most FROM {LATEST_SEGMENTS}),
 w AS (SELECT s.*, unnest(range(greatest(ceil((ordinal - 5) / 4.0), 0)::BIGINT, least(floor(ordinal / 4.0), ceil(greatest(most - 5, 0) / 4.0))::BIGINT + 1)) AS window_index FROM s)
 SELECT lecture_id, window_index, count(*) AS segments, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal, min(start_seconds) AS start_seconds,
-       sum(len(regexp_extract_all(text, '[^\\s]+')))::BIGINT AS words, round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence, bool_or(is_unclear) AS has_unclear
+       sum(len(regexp_extract_all(text, '[^\\s]+')))::BIGINT AS words, round(sum(round(confidence * 1000000)::BIGINT) / count(confidence) / 1000000, 6) AS avg_confidence, min(confidence) AS min_confidence, bool_or(is_unclear) AS has_unclear
 FROM w GROUP BY lecture_id, window_index"""
 
 
 def lecture_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-lecture chunk: segments, covered share of the duration, mean confidence, and the text of summary, topics and key terms."""
     s = _segments(spark, sf_dir)
-    by = s.groupBy("lecture_id").agg(F.count("*").alias("segments"), F.max("end_seconds").alias("end_seconds"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    by = s.groupBy("lecture_id").agg(F.count("*").alias("segments"), F.max("end_seconds").alias("end_seconds"), exact_mean("confidence").alias("avg_confidence"))
     x = by.join(table(spark, sf_dir, "lectures"), "lecture_id")
     bullets = F.array_join(F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.concat(F.lit("- "), t)), "\n")
     text = F.concat_ws("\n", "summary", bullets, F.concat(F.lit("Key terms: "), F.array_join(F.coalesce("searchable_keywords", F.array().cast("array<string>")), ", ")))
@@ -48,7 +48,7 @@ def lecture_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUMMARY_SQL = f"""
-WITH b AS (SELECT lecture_id, count(*) AS segments, max(end_seconds) AS end_seconds, round(avg(confidence), 6) AS avg_confidence FROM {LATEST_SEGMENTS} GROUP BY lecture_id)
+WITH b AS (SELECT lecture_id, count(*) AS segments, max(end_seconds) AS end_seconds, round(sum(round(confidence * 1000000)::BIGINT) / count(confidence) / 1000000, 6) AS avg_confidence FROM {LATEST_SEGMENTS} GROUP BY lecture_id)
 SELECT lecture_id, segments, avg_confidence, CASE WHEN duration_seconds > 0 AND NOT isnan(duration_seconds) AND end_seconds IS NOT NULL THEN round(least(end_seconds / duration_seconds, 1.0), 6) END AS coverage,
        concat_ws(chr(10), summary, array_to_string(list_transform(coalesce(topics, []), lambda t: '- ' || t), chr(10)), 'Key terms: ' || array_to_string(coalesce(searchable_keywords, []), ', ')) AS text
 FROM b JOIN lectures USING (lecture_id)"""
@@ -199,7 +199,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_SQL = """
 WITH b AS (SELECT * FROM ocr_blocks QUALIFY row_number() OVER (PARTITION BY block_uid ORDER BY ingested_at DESC NULLS LAST) = 1),
 r AS (SELECT *, CASE WHEN is_code THEN '[CODE:' || coalesce(language, 'unknown') || ']' || chr(10) || raw_text || chr(10) || '[/CODE]' ELSE raw_text END AS t FROM b WHERE raw_text IS NOT NULL AND trim(raw_text, ' ') <> '')
-SELECT document_id, page, count(*) AS blocks, sha256(string_agg(t, chr(10) || chr(10) ORDER BY bbox.y, bbox.x, block_uid)) AS text_hash, round(avg(confidence), 6) AS confidence, coalesce(avg(confidence) < 60, false) AS low_confidence
+SELECT document_id, page, count(*) AS blocks, sha256(string_agg(t, chr(10) || chr(10) ORDER BY bbox.y, bbox.x, block_uid)) AS text_hash, round(sum(round(confidence * 1000000)::BIGINT) / count(confidence) / 1000000, 6) AS confidence, coalesce(avg(confidence) < 60, false) AS low_confidence
 FROM r GROUP BY document_id, page"""
 
 QUERIES = {

@@ -24,10 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables this process has written by ``materialize``; call it when no result built on them is needed any more."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and any executor may be lost."""
     path = f"{shared_dir(df.sparkSession)}/lectern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,10 +59,7 @@ def latest(df: DataFrame, keys: list[str], columns: list[str], at: str = "ingest
     return df.groupBy(*keys).agg(held).select(*keys, *[F.col(f"__held.__{i}").alias(c) for i, c in enumerate(rest)])
 
 
-def shard_count(spark: SparkSession, least: int = 8) -> int:
-    """Shuffle width of this session, at least ``least``."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def null_safe_count(c: Column) -> Column:
-    return F.coalesce(F.sum(c.cast("long")), F.lit(0))
+def exact_mean(column: str) -> Column:
+    """Mean to six decimals by a sum of whole millionths: the same in whatever order rows are added."""
+    c = F.col(column)
+    return F.round(F.sum(F.round(c * 1_000_000).cast("long")) / F.count(c) / 1_000_000, 6)

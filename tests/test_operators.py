@@ -106,3 +106,26 @@ def test_sources_and_store(spark, tmp_path):
     assert t.invalidate("j") == 1 and t.read().count() == 2
     dump_json(t.read(), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_relational(spark):
+    from lectern.operators.relational import choose_transcript, clamped, delete_cascade, insert_new
+
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert sorted(insert_new(t, spark.createDataFrame([(1, "b"), (2, "c"), (2, "d"), (None, "e")], "k int, v string"), ["k"]).select("k").toPandas()["k"].fillna(-1).tolist()) == [-1, 1, 2]
+    child = spark.createDataFrame([(1, 1), (2, 3), (3, None)], "id int, fk int")
+    left = delete_cascade(t, "k", F.col("k") == 1, {"child": (child, "fk")})
+    assert left[""].count() == 0 and {r["id"] for r in left["child"].collect()} == {2, 3}
+    v = spark.createDataFrame([("x", "de", True), ("x", "fr", False), ("x", "en", False), ("y", "pt", True), ("y", None, None)], "video_id string, language string, is_generated boolean")
+    assert {r["video_id"]: r["language"] for r in choose_transcript(v, ["en", "de"]).collect()} == {"x": "en", "y": "pt"}
+    c = spark.createDataFrame([(99, None), (-1, 0.5)], "dense_k int, w double")
+    assert [tuple(r) for r in clamped(c, {"dense_k": (2, 20), "w": (0.6, 1)}).collect()] == [(20, None), (2, 0.6)]
+
+
+def test_materialized_tables_can_be_dropped(spark):
+    from lectern.session import drop_materialized, latest, materialize
+
+    drop_materialized(spark)
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, None, None), (None, "x", 1)], "k int, v string, ingested_at int")
+    assert {r["k"]: r["v"] for r in latest(df, ["k"], ["v"]).collect()} == {1: "b", 2: None, None: "x"}
+    assert materialize(df, "t").count() == 4 and drop_materialized(spark) == 1
