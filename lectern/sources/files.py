@@ -24,7 +24,10 @@ def pipeline_of(path: Column) -> Column:
 
 
 def binary_files(spark: SparkSession, folder: str, pipeline: str) -> DataFrame:
-    """``path, modified, length, content`` of a pipeline's files below a folder; file listing and reading are distributed."""
+    """``path, modified, length, content`` of a pipeline's files below a folder; file listing and reading are distributed.
+
+    Files without a byte are not listed.
+    """
     glob = "*.{" + ",".join(PIPELINES[pipeline]) + "}"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     return df.select("path", F.col("modificationTime").alias("modified"), "length", "content")
