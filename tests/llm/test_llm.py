@@ -117,7 +117,7 @@ def test_scan_noise(spark):
             uid += 1
             rows.append((uid, doc, page, 0, "heading", "Reader of Cells 4   Part II" if doc == "a" else f"Other Course {'READER' if page % 2 else 'Reader'}", None, 0))
             uid += 1
-            rows.append((uid, doc, page, 1, "paragraph", body if page > 1 else "We see the mito-\nchondrion and a first-\norder questi0n here.", None, 0))
+            rows.append((uid, doc, page, 1, "paragraph", body if page > 1 or doc == "b" else "We see the mito-\nchondrion and a first-\norder questi0n here.", None, 0))
             uid += 1
             rows.append((uid, doc, page, 2, "unknown", f"{page + 20}", None, 0))
     rows += [(900, None, None, None, None, None, None, 0), (901, "c", 1, 0, "table_cell", "12\n55\n7", None, 0), (902, "c", 1, 1, "paragraph", "x" * 50_000, None, 0)]
@@ -149,6 +149,7 @@ def sentence(lang, rnd, n=9):
 def model(spark):
     rnd = random.Random(1)
     rows = [("speech", " ".join(sentence(x, rnd) for _ in range(6)), x) for x in WORDS for _ in range(40)]
+    rows += [("speech", "I am sorry but I have to pass on this request. I'm unable to draw it in words. Please ask your instructor.", "en")] * 20
     rows += [("speech", sentence("en", rnd), "de")] * 3 + [("speech", None, "en")]
     return languages.train(spark.createDataFrame(rows, "kind string, text string, lang string").withColumn("rec_key", F.monotonically_increasing_id().cast("string")))
 
