@@ -44,6 +44,8 @@ ASKED_NAMES = {
 LANG_OF_NAME = {n: lang for lang, names in ASKED_NAMES.items() for n in names}
 CODE = re.compile(r"```[\s\S]*?(?:```|\Z)|`[^`\n]+`")
 CITED = re.compile(r"(?<![\w\]])\[\s*(\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*)\s*\]|(?<=\])\[\s*(\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*)\s*\]")
+ASIDE = re.compile(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|\[[^\]\n]*\]")
+MARKS = frozenset("\"“«[")
 SPEAKS_FIRST = re.compile(r"^\s*(?:q|question|you asked|your question(?: was)?|frage|pregunta|pergunta|vous avez demandé)\s*:?\s*", re.I)
 
 
@@ -115,29 +117,32 @@ def source_numbers(sources: str | None) -> set[int]:
         return {int(x) for x in re.findall(r'"citation"\s*:\s*"?(\d+)', sources)}
 
 
-def _language(score: Scorer, text: str, least: float) -> tuple[int | None, int]:
-    """The language of most words, or None where the evidence is short of ``least``."""
-    t = CODE.sub(" ", text)
-    t = re.sub(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|\[[^\]\n]*\]", " ", t)
-    total, words = np.zeros(len(LANGS)), np.zeros(len(LANGS))
-    for s in SENTENCE.split(t):
-        v, n = score.sentence(s)
-        if n:
-            total += v
-            words[int(v.argmax())] += n
-    n = int(words.sum())
+def _plain_sentences(text: str) -> list[str]:
+    """Without code, quoted terms and what stands in brackets."""
+    if "`" in text:
+        text = CODE.sub(" ", text)
+    if not MARKS.isdisjoint(text):
+        text = ASIDE.sub(" ", text)
+    return SENTENCE.split(text)
+
+
+def _language(like: np.ndarray, words: np.ndarray, least: float) -> tuple[int | None, int]:
+    """The language of most words, or None where the evidence is short of ``least``; and the number of words."""
+    total, n = like.sum(axis=0), int(words.sum())
     if n < 3:
         return None, n
-    order = np.argsort(-words if words.max() < n else -total)
+    by = np.bincount(like.argmax(axis=1), weights=words, minlength=len(LANGS))
+    if by.max() < n:
+        return int(by.argmax()), n
     gap = np.sort(total)[::-1]
-    return (int(order[0]) if words.max() < n or gap[0] - gap[1] >= least else None), n
+    return (int(total.argmax()) if gap[0] - gap[1] >= least else None), n
 
 
 def _features(shared):
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = Scorer(shared.value)
         for pdf in batches:
-            rows = []
+            rows, texts, asked_of = [], [], {}
             for i, message, response, sources in zip(pdf["id"], pdf["message"], pdf["response"], pdf["sources"]):
                 message, response = message or "", response or ""
                 found, opening, declines, bare = [], "", False, False
@@ -150,22 +155,26 @@ def _features(shared):
                     opening = sentences[0] if sentences else ""
                     how = DECLINES.search(opening)
                     declines = how is not None
-                    rest = [s for s in sentences[1:] if not COURTESY.search(s) and not DECLINES.search(s)]
+                    rest = (s for s in sentences[1:] if not COURTESY.search(s) and not DECLINES.search(s))
                     bare = not any(len(_words(s)) >= 4 for s in rest) and not GOES_ON.search(opening, how.end() if how else 0)
                     if is_truncated(response):
                         found.append("truncated")
                     asked = ASKED.search(message)
                     want = LANG_OF_NAME.get(asked[1].lower()) if asked else None
-                    plain = message[: asked.start()] if want else message
-                    got, n = _language(score, response, 4.0)
-                    mine, m = _language(score, plain, 2.0)
-                    if got is not None and (want is not None or mine is not None) and n >= 3 and LANGS[got] != want and (want is not None or got != mine):
-                        found.append("other_language")
-                    if cited_numbers(response) - source_numbers(sources):
+                    asked_of[len(rows)] = (want, len(texts))
+                    texts += [_plain_sentences(response), _plain_sentences(message[: asked.start()] if want else message)]
+                    if "[" in response and cited_numbers(response) - source_numbers(sources):
                         found.append("dangling_citation")
-                topic = {w for w in _words(message) if len(w) >= 5}
-                taken = len(topic & set(_words(response)))
-                rows.append((i, found, re.sub(r"\d+", "0", " ".join(_words(opening))), declines, bare, taken, zlib.crc32(" ".join(_words(message)).encode())))
+                said = _words(message)
+                taken = len({w for w in said if len(w) >= 5} & set(_words(response))) if bare else 0
+                rows.append((i, found, re.sub(r"\d+", "0", " ".join(_words(opening))) if bare else "", declines, bare, taken, zlib.crc32(" ".join(said).encode())))
+            like, words = score.sentences([s for t in texts for s in t])
+            cut = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(int)
+            for row, (want, at) in asked_of.items():
+                got, _ = _language(like[cut[at] : cut[at + 1]], words[cut[at] : cut[at + 1]], 4.0)
+                mine, _ = _language(like[cut[at + 1] : cut[at + 2]], words[cut[at + 1] : cut[at + 2]], 2.0)
+                if got is not None and LANGS[got] != want and (want is not None or (mine is not None and got != mine)):
+                    rows[row][1].append("other_language")
             yield pd.DataFrame(rows, columns=["id", "found", "opening", "declines", "bare", "taken", "message"])
 
     return features
