@@ -1,6 +1,6 @@
 """Missing or wrong language labels: languages of records and of the parts of mixed ones.
 
-A character n-gram model per language is counted over all labelled records (most labels are right; n-grams go to a fixed
+A character n-gram model per language is counted over labelled records, at most ``sample`` of them (most labels are right; n-grams go to a fixed
 number of buckets, so the model's size does not depend on the data). Each document is a mixture: expectation-maximisation estimates
 the proportions of its languages from the likelihoods of its sentences; the set of languages is the one with the best
 penalised likelihood. Sentences are then assigned within that set, with a price for each change, and runs are the pieces.
