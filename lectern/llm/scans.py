@@ -68,8 +68,6 @@ def _number(s: str) -> int:
 
 def shape_of(line: str) -> tuple[str, int]:
     """Kind of page-number shape ('' for none) and its number."""
-    if len(line) > 40:
-        return "", 0
     for kind, r in SHAPES:
         if m := r.match(line):
             n = m[m.lastindex]
@@ -101,7 +99,7 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for kind, doc, page, parts in zip(pdf["rec_kind"], pdf["doc"], pdf["page"], pdf["parts"]):
             ls = [x for x in _lines(parts) if x[2].strip()]
             top = ls[0][2] if ls else ""
-            key = header_key(top)[:200] if len(top) <= 120 else ""
+            key = header_key(top)[:200] if len(top) <= 120 or shape_of(top)[0] == "inside" else ""
             offset = None
             for x in (ls[-1][2], top) if ls else ():
                 s, n = shape_of(x)
@@ -161,7 +159,7 @@ def label_lines(ls: list[tuple[int, int, str, str, int]], repeats: int, offset:
         ws = re.findall(r"[^\W_]+", x.lower())
         shape, n = shape_of(x)
         agrees = offset is not None and page is not None and n == page + offset
-        if i in (top, bottom) and len(x) <= 120 and re.search(r"[^\W\d_]{2}", x) and shape not in ("marked", "bare", "roman"):
+        if i in (top, bottom) and (len(x) <= 120 or shape == "inside") and re.search(r"[^\W\d_]{2}", x) and shape not in ("marked", "bare", "roman"):
             s = float(np.clip(np.mean([odds[_bucket(w)] for w in ws]) * 2.5, -6, 6)) if ws else -6.0
             s += (1.0 + 1.5 * min(repeats - 2, 2)) if i == top and repeats >= 2 and len(ws) >= 2 else 0
             s += 3.0 if shape == "inside" else 0

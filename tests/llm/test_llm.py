@@ -132,6 +132,23 @@ def test_scan_noise(spark):
     assert scans.scan_noise(none, pages.where("false")).count() == 0
 
 
+def test_page_numbers_in_long_headers(spark):
+    title = "Ostwick University – Structures and Proof III"
+    long = "Proceedings of the Ostwick Summer School " + "on Structures, Proof, Algebra, Topology and Logic " * 2
+    body = "The mitochondrion of the whole cell is a kind of thing here.\nEvery student knows the question of the cell well."
+    rows = []
+    for page in range(1, 9):
+        head = f"{page + 20}    {title.upper()}" if page % 2 else f"{title}    {page + 20}"
+        rows.append((page, "a", page, f"{head}\n\n{body}"))
+        rows.append((100 + page, "b", page, f"{title}\n\n{body}"))  # the numeral belongs to the title
+        rows.append((200 + page, "c", page, f"{long}   {page + 3}\n\n{body}"))
+    assert len(long) > 120
+    pages = spark.createDataFrame(rows, "page_id long, source_file string, page_number int, transcript string")
+    got = {(r["rec_id"], r["line_no"], r["noise"]) for r in scans.scan_noise(blocks(spark, []), pages).collect()}
+    assert {x for x in got if x[2] == "page_number"} == {(d + p, 1, "page_number") for d in (0, 200) for p in range(1, 9)}
+    assert {x for x in got if x[2] == "running_header"} == {(d + p, 1, "running_header") for d in (0, 100, 200) for p in range(1, 9)}
+
+
 WORDS = {
     "en": "the of and this is not with they have which would there house water people always never because",
     "de": "der die und das ist nicht mit sie haben welche würde dort haus wasser leute immer niemals weil",
