@@ -1,16 +1,16 @@
 """Broken prompt and response pairs: empty, truncated, refusal, copies_question, other_language, dangling_citation.
 
 Openings of responses that take up nothing of their message are clustered by verified MinHash (``neardup``); a cluster that recurs
-across unrelated messages and mostly declines is a refusal template. Copy, language, termination and citation checks give the
+across different messages and takes up nothing of nine in ten of them is a refusal template, unless it is so short that it may be a sound answer and does not decline. Copy, language, termination and citation checks give the
 other types.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,7 +167,7 @@ def _features(shared):
                         found.append("dangling_citation")
                 said = _words(message)
                 taken = len({w for w in said if len(w) >= 5} & set(_words(response))) if bare else 0
-                rows.append((i, found, re.sub(r"\d+", "0", " ".join(_words(opening))) if bare else "", declines, bare, taken, zlib.crc32(" ".join(said).encode())))
+                rows.append((i, found, re.sub(r"\d+", "0", " ".join(_words(opening))) if bare else "", declines, bare, taken, int.from_bytes(hashlib.blake2b(" ".join(said).encode(), digest_size=8).digest(), "big", signed=True)))
             like, words = score.sentences([s for t in texts for s in t])
             cut = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(int)
             for row, (want, at) in asked_of.items():
@@ -180,13 +180,14 @@ def _features(shared):
     return features
 
 
-def pair_defects(pairs: DataFrame, model: np.ndarray, least_messages: int = 3, salts: int = 16) -> DataFrame:
+def pair_defects(pairs: DataFrame, model: np.ndarray, least_messages: int = 3, least_words: int = 6, salts: int = 16) -> DataFrame:
     """``id, defect``: one row per defect of each pair (``id, message, response, sources``; one row per id).
 
     Null texts are empty ones; an empty response has no further defect, nor has one that only repeats its message. Null,
     empty and malformed sources hold no citation numbers. ``least_messages`` is the number of different messages over
-    which a cluster of openings must recur; an opening that itself declines counts from its first use. Very long responses
-    are read whole. Extra columns are ignored.
+    which a cluster of openings must recur to be a template, whatever its words; recurring openings of less than
+    ``least_words`` words may be short sound answers ("Option B") and are refusals only if they decline. An opening that
+    itself declines counts from its first use. Very long responses are read whole. Extra columns are ignored.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(model)
     kind = pairs.schema["id"].dataType.simpleString()
@@ -195,15 +196,24 @@ def pair_defects(pairs: DataFrame, model: np.ndarray, least_messages: int = 3, s
     fixed = rows.select("id", F.explode("found").alias("defect"))
 
     # bare answers that take up nothing of the message: what their openings have in common across messages
-    bare = rows.where(F.col("bare") & (F.col("taken") <= 1) & (F.col("opening") != ""))
-    openings = bare.groupBy("opening").agg(F.approx_count_distinct("message").alias("messages"), F.count("*").alias("n"), F.max(F.col("declines").cast("int")).alias("declines"))
+    said = rows.where(F.col("bare") & (F.col("opening") != "")).withColumn("idle", F.col("taken") == 0)
+    bare = said.where(F.col("taken") <= 1)
+    openings = said.groupBy("opening").agg(F.count_distinct(F.when(F.col("idle"), F.col("message"))).alias("messages"), F.count("*").alias("n"), F.count_if("idle").alias("idle"), F.max(F.when(F.col("taken") <= 1, F.col("declines").cast("int"))).alias("declines"))
     openings = materialize(openings, "openings")
     members, links = near_duplicates(openings.select(F.col("opening").alias("id"), F.col("opening").alias("text")), "id", k=5, threshold=0.8, bands=20, rows=6)
-    sized = members.join(openings.withColumnRenamed("opening", "id"), "id").groupBy("cls").agg(F.sum("messages").alias("messages"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("declines")).alias("declining"))
-    both = links.select("cls_a", "cls_b").unionByName(links.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"))).unionByName(sized.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")))
-    around = both.join(sized.withColumnRenamed("cls", "cls_b"), "cls_b").groupBy("cls_a").agg(F.sum("messages").alias("messages"), F.sum("n").alias("n"), F.sum("declining").alias("declining"))
-    template = around.where((F.col("messages") >= least_messages) & (F.col("declining") * 2 >= F.col("n"))).select(F.col("cls_a").alias("cls"))
-    revealed = members.join(template, "cls").select(F.col("id").alias("opening")).unionByName(openings.where("declines = 1").select("opening")).distinct()
+    members = members.withColumnRenamed("id", "opening")
+    both = links.select("cls_a", "cls_b").unionByName(links.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"))).unionByName(members.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")).distinct())
+    # an opening that recurs by itself makes its cluster one that recurs; of the others, each has a few messages at most, and these are counted exactly
+    sized = members.join(openings, "opening")
+    often = sized.where(F.col("messages") >= least_messages).select("cls").distinct()
+    seldom = sized.where(F.col("messages") < least_messages).select("opening", "cls").join(said.where("idle").select("opening", "message").distinct(), "opening").select("cls", "message")
+    often = both.join(often.withColumnRenamed("cls", "cls_b"), "cls_b").select(F.col("cls_a").alias("cls"))
+    seldom = both.join(seldom.withColumnRenamed("cls", "cls_b"), "cls_b").groupBy("cls_a").agg(F.count_distinct("message").alias("messages")).where(F.col("messages") >= least_messages).select(F.col("cls_a").alias("cls"))
+    # an answer puts words of the message into the same frame time and again, a refusal does not
+    idle = both.join(sized.groupBy(F.col("cls").alias("cls_b")).agg(F.sum("n").alias("n"), F.sum("idle").alias("idle")), "cls_b").groupBy(F.col("cls_a").alias("cls")).agg(F.sum("n").alias("n"), F.sum("idle").alias("idle"))
+    template = often.unionByName(seldom).distinct().join(idle.where(F.col("idle") * 10 >= F.col("n") * 9), "cls")
+    recurring = members.join(template, "cls").select("opening").where(F.size(F.split("opening", " ")) >= least_words)
+    revealed = recurring.unionByName(openings.where("declines = 1").select("opening")).distinct()
     # one refusal may be the opening of a third of all answers
     salted = bare.select("id", "opening", F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
     refusals = salted.join(revealed.select("opening", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), ["opening", "salt"]).select("id", F.lit("refusal").alias("defect"))

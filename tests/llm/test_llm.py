@@ -202,6 +202,21 @@ def test_pair_defects(spark, model):
     assert pairs.pair_defects(spark.createDataFrame([], "id string, message string, response string, sources string"), model).count() == 0
 
 
+def test_refusals_by_recurrence(spark, model):
+    src = '{"items": [{"citation": 1}]}'
+    asked = lambda i: f"What is the {['house', 'river', 'engine', 'planet'][i % 4]} of number {i}?"
+    framed = ["house", "river", "engine", "planet"]
+    rows = [(f"x{i}", asked(i), "Matters of this sort are not covered by the tutor today.", src) for i in range(4)]  # no listed phrase
+    near = ["Matters of that kind belong to the people in the registry office and are never taken up by the tutor in a chat."] * 2 + ["Matters of that kind belong to the people in the registry office and are never taken up by the tutor in this chat."]
+    rows += [(f"y{i}", asked(i), t, src) for i, t in enumerate(near)]  # recur only as a cluster
+    rows += [("o0", asked(0), "Requests like yours go to the registry office on the ground floor.", src), ("o1", asked(0), "Requests like yours go to the registry office on the ground floor.", src), ("o2", asked(0), "Requests like yours go to the registry office on the ground floor.", src)]  # one message
+    rows += [(f"s{i}", asked(i), "No, only the second one.", src) for i in range(5)]  # short and sound
+    rows += [(f"f{i}", asked(i), f"Chapter 7 shows in detail and with many examples what everybody should know of it, as the {framed[i % 4]}.", src) for i in range(8)]  # sound, in one frame
+    rows += [("d", asked(0), "Leider kann ich diese Frage nicht beantworten.", src)]  # declines, once
+    got = pairs.pair_defects(spark.createDataFrame(rows, "id string, message string, response string, sources string"), model).where("defect = 'refusal'").collect()
+    assert {r["id"] for r in got} == {f"x{i}" for i in range(4)} | {f"y{i}" for i in range(3)} | {"d"}
+
+
 def test_packing_is_whole_and_never_overfull(spark):
     rnd = random.Random(8)
     rows = [(i, rnd.choice([0, 1, 5, 30, 64, 100, 130, 257, rnd.randint(1, 99)])) for i in range(800)] + [(5000, None)]
