@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import word_list
+from lectern.session import materialize
 
 
 def word_windows(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
@@ -147,26 +148,69 @@ def exam_questions(text: Column) -> Column:
 def concept_boundaries(df: DataFrame, key: str, ordinal: str, text: str, topics: str, least: int = 4, most: int = 12, look: int = 4, shard: int = 240) -> DataFrame:
     """``key, start_ordinal, end_ordinal, topic``: runs of segments that end where the dominant topic of the next ``look`` segments changes.
 
-    A run has at least ``least`` and at most ``most`` segments; a stretch without topic ends none. Without topics, runs have ``least``. The fold
-    starts anew every ``shard`` segments, so one endless recording is many tasks.
+    A run has at least ``least`` and at most ``most`` segments; a stretch without topic ends none. Without topics, runs have ``least``. ``ordinal``
+    counts the segments of a key from 0 without gaps. Shards of ``shard`` segments are read in tasks of their own, each with the segments its last
+    windows look at; what a shard makes of any (segments since the last boundary, current topic) is carried along the key, so runs are those of one fold.
     """
 
-    def fold(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(since: int, current: int, now: int, named: bool) -> tuple[bool, int, int]:
+        """Whether a boundary stands before the segment, and the state after it; topics are indices, -1 for none."""
+        cut = since > 0 and ((not named and since >= least) or since >= most or (now >= 0 and current >= 0 and now != current and since >= least))
+        since, current = (0, now) if cut else (since, current)
+        return cut, since + 1, current if current >= 0 else now
+
+    def outcome(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The dominant topic seen from each segment, and the state after the shard for each state before it (one value if it is the same for all)."""
         pdf = pdf.sort_values("o")
         names = list(pdf["topics"].iloc[0]) if pdf["topics"].iloc[0] is not None else []
+        own = int((pdf["o"] // shard == k[1]).sum())
+        if not own:
+            return pd.DataFrame(columns=["key", "part", "names", "first", "now", "after"])
         low = pdf["t"].fillna("").str.lower().tolist()
-        counts = [[s.count(n.lower()) for n in names] for s in low]
-        o, rows, start, current = pdf["o"].tolist(), [], 0, None
-        for i in range(len(o)):
+        counts = [[x.count(n.lower()) for n in names] for x in low]
+        nows = []
+        for i in range(own):
             total = [sum(c) for c in zip(*counts[i : i + look])] if names else []
-            now = names[total.index(max(total))] if total and max(total) > 0 else None
-            if i > start and ((not names and i - start >= least) or i - start >= most or (now and current and now != current and i - start >= least)):
-                rows.append((k[0], o[start], o[i - 1], current or ""))
-                start, current = i, now
-            current = current or now
-        rows.append((k[0], o[start], o[-1], current or ""))
-        return pd.DataFrame(rows, columns=["key", "start_ordinal", "end_ordinal", "topic"])
+            nows.append(total.index(max(total)) if total and max(total) > 0 else -1)
+        before = [(0, -1)] if k[1] == 0 else [(since, current) for since in range(1, most + 1) for current in range(-1, len(names))]
+        at = {x: x for x in before}
+        for now in nows:
+            after = {x: step(*x, now, bool(names))[1:] for x in set(at.values())}
+            at = {x: after[y] for x, y in at.items()}
+        codes = [since * (len(names) + 1) + current + 1 for since, current in (at[x] for x in before)]
+        return pd.DataFrame([(k[0], k[1], names, int(pdf["o"].iloc[0]), nows, codes if len(set(codes)) > 1 else codes[:1])], columns=["key", "part", "names", "first", "now", "after"])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state before each shard of a key."""
+        pdf = pdf.sort_values("part")
+        states, since, current = [], 0, -1
+        for after, n in zip(pdf["after"], pdf["n"]):
+            states.append((since, current))
+            code = int(after[0] if len(after) == 1 else after[(since - 1) * (n + 1) + current + 1])
+            since, current = code // (n + 1), code % (n + 1) - 1
+        out = pdf[["key", "part"]].assign(since=[x for x, _ in states], current=[x for _, x in states], last=False)
+        out.iloc[-1, out.columns.get_loc("last")] = True
+        return out
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, names, first, nows, since, current, last in zip(pdf["key"], pdf["names"], pdf["first"], pdf["now"], pdf["since"], pdf["current"], pdf["last"]):
+                for i, now in enumerate(nows, first):
+                    cut, later, topic = step(since, current, int(now), len(names) > 0)
+                    if cut:
+                        rows.append((key, i - since, i - 1, names[current] if current >= 0 else ""))
+                    since, current = later, topic
+                if last:
+                    end = first + len(nows)
+                    rows.append((key, end - since, end - 1, names[current] if current >= 0 else ""))
+            yield pd.DataFrame(rows, columns=["key", "start_ordinal", "end_ordinal", "topic"])
 
     kind = df.schema[key].dataType.simpleString()
     x = df.select(F.col(key).alias("key"), F.col(ordinal).cast("long").alias("o"), F.col(text).alias("t"), F.col(topics).alias("topics"))
-    return x.groupBy("key", F.floor(F.col("o") / shard).alias("part")).applyInPandas(fold, f"key {kind}, start_ordinal long, end_ordinal long, topic string")
+    x = x.withColumn("part", F.explode(F.sequence(F.greatest(F.floor((F.col("o") - look + 1) / shard), F.lit(0)), F.floor(F.col("o") / shard))))
+    shards = materialize(x.groupBy("key", "part").applyInPandas(outcome, f"key {kind}, part long, names array<string>, first long, now array<int>, after array<int>"), "concept-shards")
+    states = shards.select("key", "part", "after", F.size("names").alias("n")).groupBy("key").applyInPandas(carry, f"key {kind}, part long, since int, current int, last boolean")
+    states = states.select(F.col("key").alias("__key"), F.col("part").alias("__part"), "since", "current", "last")
+    held = shards.join(states, F.col("key").eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__part")))
+    return held.select("key", "names", "first", "now", "since", "current", "last").mapInPandas(runs, f"key {kind}, start_ordinal long, end_ordinal long, topic string")

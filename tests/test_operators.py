@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.text import slug, time_label, video_id
-from lectern.operators.chunking import heading_segments, timed_chunks, title_chunks, token_chunks, word_windows
+from lectern.operators.chunking import concept_boundaries, heading_segments, timed_chunks, title_chunks, token_chunks, word_windows
 from lectern.operators.retrieval import dense_topk, keep_newest, metadata_filter, mmr_select
 from lectern.operators.sequence import ordinals, previous, sliding_windows
 
@@ -130,3 +130,28 @@ def test_materialized_tables_can_be_dropped(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, None, None), (None, "x", 1)], "k int, v string, ingested_at int")
     assert {r["k"]: r["v"] for r in latest(df, ["k"], ["v"]).collect()} == {1: "b", 2: None, None: "x"}
     assert materialize(df, "t").count() == 4 and drop_materialized(spark) == 1
+
+
+def whole_lecture_runs(texts, names, least=4, most=12, look=4):
+    out, start, current = [], 0, None
+    for i in range(len(texts)):
+        seen = [sum(t.lower().count(n.lower()) for t in texts[i : i + look] if t) for n in names]
+        now = names[seen.index(max(seen))] if seen and max(seen) else None
+        since = i - start
+        if since and ((not names and since >= least) or since >= most or (now and current and now != current and since >= least)):
+            out.append((start, i - 1, current or ""))
+            start, current = i, now
+        current = current or now
+    return [*out, (start, len(texts) - 1, current or "")]
+
+
+def test_concept_boundaries_are_those_of_one_fold(spark):
+    rng = np.random.default_rng(3)
+    lectures = {"long": (700, ["Graph", "Tree", "Heap"]), "edge": (480, ["Graph", "Tree"]), "plain": (500, []), "null": (250, None), "short": (1, ["Graph"])}
+    texts = {k: [None if rng.random() < 0.05 else " ".join(rng.choice(["graph", "tree", "heap", "so", "and", "well"], 3, p=[0.1, 0.1, 0.1, 0.3, 0.2, 0.2])) for _ in range(n)] for k, (n, _) in lectures.items()}
+    rows = [(k, i, t, lectures[k][1]) for k, ts in texts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "k string, o int, t string, names array<string>").repartition(3)
+    want = {(k, *r) for k, ts in texts.items() for r in whole_lecture_runs(ts, lectures[k][1] or [])}
+    for shard in (240, 3):
+        got = [tuple(r) for r in concept_boundaries(df, "k", "o", "t", "names", shard=shard).collect()]
+        assert len(got) == len(want) and set(got) == want
