@@ -237,13 +237,13 @@ INDEX_SQL = "SELECT coalesce(namespace, 'all') AS namespace, sum(n)::BIGINT AS r
 
 
 def seed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of four sources as one wide table: id, source, text hash, words."""
+    """Records of four sources as one wide table: id, source, hash of the whole text, words."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), F.lit("documents").alias("source"), "text")
     y = latest(table(spark, sf_dir, "youtube_chunks"), ["chunk_id"], ["raw_text"]).select(F.concat(F.lit("yt_"), F.col("chunk_id")).alias("id"), F.lit("youtube").alias("source"), F.col("raw_text").alias("text"))
     p = latest(table(spark, sf_dir, "handwritten_pages"), ["page_id"], ["transcript"]).select(F.concat(F.lit("hw_"), F.col("page_id").cast("string")).alias("id"), F.lit("handwritten").alias("source"), F.col("transcript").alias("text"))
     o = latest(table(spark, sf_dir, "ocr_blocks"), ["block_uid"], ["raw_text"]).select(F.concat(F.lit("ocr_"), F.col("block_uid").cast("string")).alias("id"), F.lit("image").alias("source"), F.col("raw_text").alias("text"))
     x = d.unionByName(y).unionByName(p).unionByName(o)
-    return x.select("id", "source", F.sha2(F.substring(F.coalesce("text", F.lit("")), 1, 8000), 256).alias("text_hash"), word_count(F.col("text")).alias("words"))
+    return x.select("id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), word_count(F.col("text")).alias("words"))
 
 
 SEED_SQL = f"""

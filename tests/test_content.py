@@ -80,3 +80,16 @@ def test_clusters_and_distinct(spark):
     got = [r["cluster"] for r in centroid_clusters(df, "id", "items", embed=hashed_embedding).orderBy("position").collect()]
     assert got == [0, 0, 1, 1, 0]
     assert df.select(keep_distinct(F.col("items"), tokens)).first()[0] == ["red apple pie", "red apple tart", "quantum field theory"]
+
+
+def test_seed_union_hashes_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from lectern.plans.evaluation_queries import seed_union
+
+    for name, columns in {"youtube_chunks": "chunk_id string, raw_text string", "handwritten_pages": "page_id long, transcript string", "ocr_blocks": "block_uid long, raw_text string"}.items():
+        spark.createDataFrame([], columns + ", ingested_at timestamp").write.parquet(str(tmp_path / f"{name}.parquet"))
+    texts = {1: "word " * 2000 + "one", 2: "word " * 2000 + "two", 3: "", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: r["text_hash"] for r in seed_union(spark, str(tmp_path)).collect()}
+    assert got == {f"doc_{i}": hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
