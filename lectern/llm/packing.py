@@ -10,6 +10,7 @@ open is at most the bound, and those rests are packed once more together.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,19 +39,62 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
+#: White space with the word after it. A byte-level pre-tokenizer always cuts where white space begins, so a text's tokens are those of its pieces.
+PIECE = re.compile(r"\s+\S*|\S+")
+#: Characters that are white space to one of the two pattern languages only: texts with them are not taken apart.
+UNSURE = re.compile("[\x1c-\x1f\x85\u180e\ufeff]")
+
+
+class PieceCounts(dict):
+    """Number of tokens of each piece met so far; forgotten beyond ``most`` pieces, so it never grows with the data."""
+
+    def __init__(self, tokenizer, most: int = 1_000_000):
+        self.encode, self.most = tokenizer.encode, most
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self.encode(piece, add_special_tokens=False).ids)
+        return n
+
+    def of(self, text: str) -> int:
+        """Tokens of a whole text."""
+        if not text:
+            return 0
+        if UNSURE.search(text):
+            return len(self.encode(text, add_special_tokens=False).ids)
+        if len(self) > self.most:
+            self.clear()
+        if len(text) > 1_000_000:
+            return sum(self[m[0]] for m in PIECE.finditer(text))
+        return sum(map(self.__getitem__, PIECE.findall(text)))
+
+
+def _by_bytes(tokenizer) -> bool:
+    """Whether a tokenizer cuts at white space first, neither changing the text nor adding a space before it."""
+    import json
+
+    known = json.loads(tokenizer.to_str())
+    pre = known.get("pre_tokenizer") or {}
+    return known.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+
+
 def token_counts(df: DataFrame, path: str, text: str = "text", out: str = "tokens") -> DataFrame:
     """The columns of ``df`` without ``text``, and the number of tokens of the whole text (null and empty: 0).
 
-    Equal texts are counted once per batch. A map over batches, not an expression, so no plan evaluates it twice.
+    With a byte-level tokenizer each distinct piece (white space and the word after it) is encoded once per task and the counts are summed, which
+    gives the same number as encoding the text; other tokenizers encode whole texts. A map over batches, not an expression, so no plan evaluates it twice.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _tokenizer(path)
+        pieces = PieceCounts(t) if _by_bytes(t) else None
         for pdf in batches:
             codes, distinct = pd.factorize(pdf[text].fillna(""))
-            sizes = np.zeros(len(distinct), np.int64)
-            for low in range(0, len(distinct), 256):
-                sizes[low : low + 256] = [len(e.ids) for e in t.encode_batch_fast(list(distinct[low : low + 256]), add_special_tokens=False)]
+            if pieces is not None:
+                sizes = np.array([pieces.of(x) for x in distinct], np.int64)
+            else:
+                sizes = np.zeros(len(distinct), np.int64)
+                for low in range(0, len(distinct), 256):
+                    sizes[low : low + 256] = [len(e.ids) for e in t.encode_batch_fast(list(distinct[low : low + 256]), add_special_tokens=False)]
             yield pdf.drop(columns=[text]).assign(**{out: sizes[codes]})
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in (text, out)]
@@ -131,7 +175,8 @@ def pack_documents(items: DataFrame, capacities: dict[str, int], open_bins: int
     An item of at most the capacity is one part 0; a larger one is split into parts of full capacity, each a container of its own,
     and a rest. Items of size 0 or null take no place and are left out; a null item keeps its null id; items with equal
     ids are placed separately. Sizes within a container never exceed the capacity. Nothing but the ``open_bins`` containers a
-    task leaves open per window can be badly filled, and those are packed once more among all tasks.
+    task leaves open per window can be badly filled, and those are packed once more among all tasks, at least ``tokens_per_task`` tokens in each
+    task of the second pass (so a small rest is one task's work).
     """
     schema = "window string, container string, item string, part int, size long"
     sized = items.where(F.col("size") > 0).select(F.col("item").cast("string").alias("item"), F.col("size").cast("long").alias("size"))
@@ -145,6 +190,8 @@ def pack_documents(items: DataFrame, capacities: dict[str, int], open_bins: int
     again = packed.where("part = -1").select("window", F.xxhash64("window", "container").cast("string").alias("item"), F.col("part"), "size")
     rest = packed.where("part = -1").groupBy("window").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] or 0
     again = again.repartition(max(1, int(rest // tokens_per_task)), F.xxhash64("item")).mapInPandas(_pack(capacities, open_bins, "b"), schema)
+    # written before use: a task that runs again may place its rows in another order
+    again = materialize(again, "packed-again")
     merged = again.where("part = -1 and item is not null").select("window", F.col("item").alias("key"), F.col("container").alias("into"))
     return packed.where("part >= 0").withColumn("key", F.xxhash64("window", "container").cast("string")).join(merged, ["window", "key"], "left").select("window", F.coalesce("into", "container").alias("container"), "item", "part", "size")
 
