@@ -1,10 +1,10 @@
 """Markup residue (HTML, Markdown, wiki, LaTeX, or a mix, escaped or malformed) to clean text that keeps structure.
 
-A text is read once, left to right, into a tree: containers (HTML blocks, otherwise the page) hold blocks, and blocks hold
-their text. Each paragraph passes points for its length and its commas to its container and, halved, to the container above; a
-container's points are discounted by its link density. The best container and the siblings that come near it are kept as the
-clean text. Headings, list items, code blocks, formulas and tables are elements of the tree whichever container wins; each is
-reported with whether its container was kept.
+A text is read once, left to right, into a tree: containers (HTML blocks; outside them the sections that headings begin; the page) hold blocks,
+and blocks hold their text. Each paragraph passes points for its length and its commas to its container and, falling with the distance, to all
+above; a container's points are discounted by its link density. The best container, the siblings that come near it, and what lies in these
+without being a poor box, are kept as the clean text. Headings, list items, code blocks, formulas and tables are elements of the tree whichever
+container wins; each is reported with whether it was kept.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ WIKI_ITEM = re.compile(r"[*#]+[:;]?[ \t]*(?=[^\s*#])")
 NUMBERED = re.compile(r"[ \t]*(\d{1,3})[.)][ \t]+(?=\S)")
 PAGE_MARK = re.compile(r"[ \t]*[-–—]\s*(?:\d{1,4}|[ivxlc]+)\s*[-–—][ \t]*(?:\n|\Z)")
 TEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\s*(?:\[[^\]\n]*\])?\s*\{")
+TEX_LEVEL = {"part": 1, "chapter": 2, "section": 3, "subsection": 4, "subsubsection": 5}
 TEX_BEGIN = re.compile(r"\\begin\s*\{(\w+\*?)\}")
 TEX_NOTE = re.compile(r"\\(?:footnote|cite\w*|label|ref)\s*(?:\[[^\]\n]*\])?\s*\{[^{}\n]*\}")
 TEX_ITEM = re.compile(r"\\item\b(?:\[[^\]\n]*\])?")
@@ -42,11 +43,27 @@ CODE_TAGS, CONTAINER_TAGS = {"pre", "syntaxhighlight", "source"}, {"div", "secti
 PARAGRAPH_TAGS = {"p", "br", "dd", "dt", "figcaption"}
 
 
+#: Boxes stand beside or within what a page is about; their points begin below others'.
+BESIDE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:sidebar|side|ads?|advert\w*|banner|promo\w*|newsletter|subscribe|menu|nav\w*|breadcrumbs?|footer|comments?|related|share|social|cookies?|popup|sponsor\w*|widget)\b")
+BOXES, ASIDE = {"div", "nav", "aside", "header", "footer", "form", "td"}, {"nav", "aside", "header", "footer", "form"}
+
+
 class Node:
-    __slots__ = ("tag", "parent", "blocks", "points", "chars", "link_chars")
+    """A container; ``level`` is that of a section's heading, 0 for HTML containers and the page."""
+
+    __slots__ = ("tag", "parent", "level", "aside", "points", "chars", "link_chars", "structure", "prose", "kept")
+
+    def __init__(self, tag: str, parent: Node | None, level: int = 0, attributes: str = ""):
+        self.tag, self.parent, self.level, self.aside = tag, parent, level, tag in ASIDE or bool(attributes and BESIDE.search(attributes))
+        self.points, self.chars, self.link_chars, self.structure, self.prose, self.kept = -3.0 if self.aside else 0.0, 0, 0, False, False, None
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.blocks, self.points, self.chars, self.link_chars = tag, parent, [], 0.0, 0, 0
+    @property
+    def density(self) -> float:
+        return self.link_chars / self.chars if self.chars else 0.0
+
+    @property
+    def value(self) -> float:
+        return self.points * (1 - self.density)
 
 
 class Block:
@@ -55,10 +72,9 @@ class Block:
     def __init__(self, kind: str, node: Node, start: int):
         self.kind, self.node, self.parts, self.links, self.start = kind, node, [], 0, start
 
-    @property
     def text(self) -> str:
         t = "".join(self.parts)
-        return t.strip("\n") if self.kind in ("code_block", "table", "formula") else re.sub(r"\s+", " ", t).strip()
+        return t.strip("\n") if self.kind in ("code_block", "table", "formula") else " ".join(t.split())
 
 
 def _unescaped(t: str) -> str:
@@ -70,20 +86,47 @@ def _unescaped(t: str) -> str:
     return t
 
 
+NOTE_MARK = re.compile(r"\[\^\w+\]")
+MD_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
+WIKI_LINK = re.compile(r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]")
+URL_LINK = re.compile(r"\[https?://\S+ ([^\]\n]*)\]")
+TEMPLATE = re.compile(r"\{\{(?:[^{}|\n]*\|)?([^{}\n]*)\}\}")
+TEX_STYLE = re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc)\s*\{([^{}]*)\}")
+QUOTES = re.compile(r"'{2,5}")
+STRONG = re.compile(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1")
+EMPHASIS = re.compile(r"(?<![\w*])([*_])(?=[^\s*_])([^*_\n]+?)(?<=[^\s*_])\1(?![\w*])")
+TICKS = re.compile(r"`([^`\n]+)`")
+TEX_ESCAPE = re.compile(r"\\([#$%&_{}])")
+TILDE = re.compile(r"(?<!\\)~")
+MARKED = re.compile(r"[\[{\\'*_~`&]")
+
+
 def _plain(t: str) -> str:
-    """Inline marks taken off a stretch of running text."""
-    t = re.sub(r"\[\^\w+\]", "", t)
-    t = re.sub(r"!?\[([^\]\n]*)\]\([^)\n]*\)", r"\1", t)
-    t = re.sub(r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]", r"\1", t)
-    t = re.sub(r"\[https?://\S+ ([^\]\n]*)\]", r"\1", t)
-    t = re.sub(r"\{\{(?:[^{}|\n]*\|)?([^{}\n]*)\}\}", r"\1", t)
-    t = re.sub(r"\\(?:textbf|textit|emph|texttt|underline|textsc)\s*\{([^{}]*)\}", r"\1", t)
-    t = re.sub(r"'{2,5}", "", t)
-    t = re.sub(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1", r"\2", t)
-    t = re.sub(r"(?<![\w*])([*_])(?=[^\s*_])([^*_\n]+?)(?<=[^\s*_])\1(?![\w*])", r"\2", t)
-    t = re.sub(r"`([^`\n]+)`", r"\1", t)
-    t = re.sub(r"\\([#$%&_{}])", r"\1", t)
-    return _unescaped(re.sub(r"(?<!\\)~", " ", t) if "\\" in t else t)
+    """Inline marks taken off a stretch of running text; each pattern is tried only where its sign stands."""
+    if not MARKED.search(t):
+        return t
+    if "[" in t:
+        t = NOTE_MARK.sub("", t)
+        t = MD_LINK.sub(r"\1", t)
+        t = WIKI_LINK.sub(r"\1", t)
+        t = URL_LINK.sub(r"\1", t)
+    if "{{" in t:
+        t = TEMPLATE.sub(r"\1", t)
+    if "\\" in t:
+        t = TEX_STYLE.sub(r"\1", t)
+    if "''" in t:
+        t = QUOTES.sub("", t)
+    if "**" in t or "__" in t or "~~" in t:
+        t = STRONG.sub(r"\2", t)
+    if "*" in t or "_" in t:
+        t = EMPHASIS.sub(r"\2", t)
+    if "`" in t:
+        t = TICKS.sub(r"\1", t)
+    if "\\" in t:
+        t = TEX_ESCAPE.sub(r"\1", t)
+        if "\\" in t:
+            t = TILDE.sub(" ", t)
+    return _unescaped(t) if "&" in t else t
 
 
 def _close(text: str, pos: int, pattern: re.Pattern, else_blank: bool) -> tuple[int, int]:
@@ -138,7 +181,7 @@ class Reader:
                 if moved:
                     continue
             self.inline()
-        return [b for b in self.blocks if b.kind != "paragraph" or b.text]
+        return self.blocks
 
     def line_start(self, fresh: bool) -> tuple[bool, bool]:
         t, p = self.t, self.pos
@@ -188,13 +231,13 @@ class Reader:
         if m := HASH.match(t, p):
             run = m[1] == "#" and m[2] and line.lstrip().startswith("# ") and (self.wiki or re.match(r"[ ]{0,3}#[ \t]+\S", follows) or self.in_list)
             if not run or (m[1] != "#" and not self.wiki):
-                self.heading(p, m.start(2))
+                self.heading(p, m.start(2), len(m[1]))
                 return True, True
         if (m := WIKI_HEAD.match(t, p)) and (m[1] or m[2]):
-            self.heading(p, m.start(1) if m[1] else m.start(2))
+            self.heading(p, m.start(1) if m[1] else m.start(2), max(len(line) - len(line.lstrip(" =")), 1))
             return True, True
         if fresh and (m := SETEXT.match(t, eol)) and not BULLET.match(t, p) and not NUMBERED.match(t, p) and not re.match(rf"[ \t]*(?:{LT}|\\)", line):
-            self.heading(p, p)
+            self.heading(p, p, 1 if "=" in m[0] else 2)
             self.setext = m.end()
             stop = eol
             while self.pos < stop:
@@ -222,7 +265,13 @@ class Reader:
             self.in_list = False
         return False, False
 
-    def heading(self, at: int, text_at: int) -> None:
+    def heading(self, at: int, text_at: int, level: int) -> None:
+        """A heading, and the section it begins; within an HTML container it begins none."""
+        node = self.node
+        while node.level >= level and node.parent is not None:
+            node = node.parent
+        if node.level or node.parent is None:
+            self.node = Node("#", node, level)
         self.start("heading", at)
         self.pos, self.in_list = text_at, False
 
@@ -281,7 +330,7 @@ class Reader:
                 self.open, self.pos = None, m.end()
                 return
             if m := TEX_HEAD.match(t, p):
-                self.heading(p, m.end())
+                self.heading(p, m.end(), TEX_LEVEL.get(m[0].lstrip("\\").split("{")[0].split("[")[0].strip(" *"), 6))
                 end = p_end = m.end()
                 depth = 1
                 while p_end < len(t) and depth and t[p_end] != "\n":
@@ -315,7 +364,7 @@ class Reader:
             if closing:
                 self.open = None
             else:
-                self.start("heading", at)
+                self.heading(at, self.pos, int(name[1]))
         elif name in CODE_TAGS and not closing:
             end, go = _close(t, m.end(), re.compile(rf"(?i){LT}/\s*{name}\s*{GT}"), False)
             self.element("code_block", at, re.sub(rf"(?i)^\s*{LT}code{NOT_GT}{{0,100}}?{GT}|{LT}/code\s*{GT}\s*$", "", t[m.end() : end]))
@@ -342,7 +391,7 @@ class Reader:
         elif name in CONTAINER_TAGS:
             self.open = None
             if not closing:
-                self.node = Node(name, self.node)
+                self.node = Node(name, self.node, 0, m[3] or "")
             else:
                 node = self.node
                 while node is not None and node.tag != name:
@@ -355,41 +404,96 @@ class Reader:
                 self.say(" ")
 
 
-def score_tree(blocks: list[Block]) -> set[int]:
-    """Ids of the containers kept: the best and its siblings of at least a fifth of its points, with all below and above them."""
+LINKED = re.compile(r"\[([^\]\n]*)\]\([^)\n]*\)|\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]")
+ENDS = re.compile(r"[.!?][\"'”’»)\]}*_]*(?:\s|$)")
+
+
+def score_tree(blocks: list[Block], texts: list[str]) -> None:
+    """Sets ``kept`` of every container by the points of its paragraphs.
+
+    A paragraph of 25 characters or more gives its container a point, one for each comma and up to three for its length; half of that goes to the container
+    above, and a third by the distance to those beyond. The best container wins. What stands beside it is kept if it reaches a fifth of its value, or is not
+    marked as standing aside and holds structure or prose that is not made of links. Within what is kept, a box (div, aside, nav and the like) needs a fifth of the best
+    value beside it, unless it is not marked as standing aside and holds structure or prose, and anything else less than half links (a list less than four fifths). What stands directly above the winner is kept where it is an element or prose.
+    """
     nodes: dict[int, Node] = {}
-    for b in blocks:
-        text = b.text
-        node = b.node
+    children: dict[int, list[Node]] = {}
+    for b, text in zip(blocks, texts):
+        n, links = len(text), b.links
+        if "](" in text or "[[" in text:
+            links += sum(len(m[1] or m[2] or "") for m in LINKED.finditer(text))
+        running = b.kind in ("paragraph", "list_item")
+        points = 1 + text.count(",") + min(n / 100, 3) if n >= 25 and running else 0
+        b.links = links
+        node, up = b.node, 0
+        structure, prose = b.kind in ("code_block", "table", "formula") or (b.kind == "list_item" and links < n / 2), running and _prose(n, links, text)
         while node is not None:
-            nodes[id(node)] = node
-            node.chars += len(text)
-            node.link_chars += b.links
-            node = node.parent
-        if b.kind in ("paragraph", "list_item") and len(text) >= 25:
-            points = 1 + text.count(",") + min(len(text) / 100, 3)
-            b.node.points += points
-            if b.node.parent is not None:
-                b.node.parent.points += points / 2
+            node.structure, node.prose = node.structure or structure, node.prose or prose
+            structure, prose = structure and not node.aside, prose and not node.aside
+            if id(node) not in nodes:
+                nodes[id(node)] = node
+                if node.parent is not None:
+                    children.setdefault(id(node.parent), []).append(node)
+            node.chars += n
+            node.link_chars += links
+            node.points += points if up == 0 else points / 2 if up == 1 else points / (3 * up)
+            node, up = node.parent, up + 1
     if not nodes:
-        return set()
-
-    def value(n: Node) -> float:
-        return n.points * (1 - n.link_chars / max(n.chars, 1))
-
-    best = max(nodes.values(), key=value)
-    kept = {id(n) for n in nodes.values() if n is best or (n.parent is best.parent and value(n) >= 0.2 * value(best))}
-    # what stands beside the container without links of its own, and what lies within it, stays
-    for n in nodes.values():
-        up = n
-        while up is not None:
-            if id(up) in kept or (up is not n and up is best):
-                kept.add(id(n))
-                break
-            up = up.parent
-        if id(n) not in kept and n.link_chars <= 0.33 * n.chars:
-            kept.add(id(n))
-    return kept
+        return
+    best = max(nodes.values(), key=lambda x: x.value)
+
+    def near(x: Node, of: float) -> bool:
+        return x.value >= max(0.2 * of, min(2.0, of / 2))
+
+    def within(x: Node) -> None:
+        """Keeps x; of what lies in it, all but poor boxes and link lists."""
+        x.kept = True
+        stack = [x]
+        while stack:
+            held = stack.pop()
+            below = children.get(id(held), [])
+            most = max((c.value for c in below), default=0.0)
+            for c in below:
+                if c.kept is None:
+                    c.kept = held.kept and c.density <= (0.8 if c.tag in ("ul", "ol") else 0.5) and (c.tag not in BOXES or ((c.structure or c.prose) and not c.aside) or near(c, max(most, held.value)))
+                stack.append(c)
+
+    def beside(x: Node) -> bool:
+        return near(x, best.value) or (not x.aside and x.density < 0.33 and (x.structure or x.prose))
+
+    within(best)
+    for x in children.get(id(best.parent), []) if best.parent is not None else ():
+        if x is not best and beside(x):
+            within(x)
+    # sections above the winner have no paragraphs of their own to decide by, but their headings and prose lead up to it
+    up = best.parent
+    while up is not None:
+        up.kept = False
+        for x in children.get(id(up), []):
+            if x.kept is None and beside(x):
+                within(x)
+        up = up.parent
+
+
+def _prose(n: int, links: int, text: str) -> bool:
+    """Running text that is not made of links: long, or with the end of a sentence and next to no links."""
+    return (n > 80 and links < 0.25 * n) or (links <= 0.1 * n and ENDS.search(text) is not None)
+
+
+def keeps(b: Block, text: str) -> bool:
+    """Whether a block is kept: its container is, or stands above the winner and the block is an element or prose, not made of links."""
+    if b.node.kept:
+        return True
+    return b.node.kept is False and b.node.tag in ("page", "#", "body", "main", "article", "section") and (b.kind != "paragraph" or _prose(len(text), b.links, text)) and 2 * b.links <= len(text) and _above(b.node)
+
+
+def _above(node: Node) -> bool:
+    """Whether no container from here up was left out as a box."""
+    while node is not None:
+        if node.aside:
+            return False
+        node = node.parent
+    return True
 
 
 def _table_rows(t: str) -> str:
@@ -412,12 +516,14 @@ def convert(text: str | None) -> tuple[str, list[tuple[str, str, bool]]]:
     """The clean text, and (kind, text, kept) of each element set by markup, in reading order."""
     if not text or not text.strip():
         return "", []
-    blocks = Reader(text.replace("\r\n", "\n").replace("\r", "\n")).read()
-    blocks.sort(key=lambda b: b.start)
-    kept, out, elements = score_tree(blocks), [], []
-    for b in blocks:
-        t = b.text
-        keep = id(b.node) in kept
+    blocks = sorted(Reader(text.replace("\r\n", "\n").replace("\r", "\n")).read(), key=lambda b: b.start)
+    texts = [b.text() for b in blocks]
+    if "" in texts:
+        blocks, texts = zip(*[(b, t) for b, t in zip(blocks, texts) if t or b.kind != "paragraph"]) if any(t or b.kind != "paragraph" for b, t in zip(blocks, texts)) else ((), ())
+    score_tree(blocks, texts)
+    out, elements = [], []
+    for b, t in zip(blocks, texts):
+        keep = keeps(b, t)
         if b.kind == "code_block":
             shown = "```\n" + t + "\n```"
         elif b.kind == "table":

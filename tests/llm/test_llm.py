@@ -105,6 +105,21 @@ def test_markup_keeps_structure_and_drops_link_lists(spark):
     assert markup.markup_to_text(df.where("false"), "id", ["a"]).count() == 0
 
 
+def test_markup_scoring_decides():
+    body = "<p>" + "The cell divides, grows, and divides again in the wall. " * 6 + "</p>"
+    page = f"<body><nav><a href='/'>Home</a></nav><div class='content'><h2>Cells</h2>{body}<div>A short remark.</div><div class='sidebar'>Subscribe to our mailing list for news.</div><ul><li>one</li></ul></div><div id='newsletter'><p>Never miss a post, join today and tell a friend.</p></div><footer>All rights, all wrongs.</footer></body>"
+    clean, elements = markup.convert(page)
+    assert "# Cells" in clean and "divides again" in clean and "A short remark." in clean and "- one" in clean
+    assert not any(x in clean for x in ("mailing list", "Never miss", "rights", "Home"))
+    # a longer, comma-rich container wins over a shorter one of the same kind
+    two = "<div><div class='widget'><p>Buy this, now.</p></div><div class='widget'>" + body + "</div></div>"
+    assert "Buy this" not in markup.convert(two)[0] and "divides again" in markup.convert(two)[0]
+    text = "# A\n\nFirst part, with words.\n\n## B\n\n" + "Long, long, long text of the part. " * 5 + "\n\n## Links\n\n[one page of it](http://x) [another page of it](http://y)\n\n# C\n\n```\ncode\n```"
+    clean, elements = markup.convert(text)
+    assert "First part" in clean and "# B" in clean and "code" in clean and "another page" not in clean
+    assert [k for k, _, kept in elements if not kept] == ["heading"]
+
+
 def blocks(spark, rows):
     return spark.createDataFrame(rows, "block_uid long, document_id string, page int, block_id int, block_type string, raw_text string, text string, line_no int")
 
@@ -248,6 +263,17 @@ def test_token_counts(spark):
     assert n[0] == 2 and n[1] == n[2] == 0 and n[3] > 2
 
 
+def test_token_counts_by_pieces_equal_whole_texts():
+    rnd, t = random.Random(3), packing._tokenizer(packing.default_tokenizer())
+    counts = packing.PieceCounts(t, most=500)
+    letters = " \n\t\r\u00a0\u3000 abcX'\u2019s1\u0662%&\u00e9\u65e5\x0b\x0c\x1c\x85\u200b\ufeff\u180e\u00f1."
+    for _ in range(5000):
+        x = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14)))
+        assert counts.of(x) == len(t.encode(x, add_special_tokens=False).ids), repr(x)
+    x = "It's a  long text,\n\n with 12 words.\t " * 40_000
+    assert counts.of(x) == len(t.encode(x, add_special_tokens=False).ids)
+
+
 def test_mixing(spark):
     rnd = random.Random(9)
     rows = [(i, rnd.choice("aaab"), rnd.choice(["en", None]), rnd.choice(["x", "y"]), rnd.randint(20, 200)) for i in range(3000)] + [(9000, None, "en", "x", 5), (9001, "z", "en", "x", 5), (9002, "a", "en", "x", 0)]
@@ -267,6 +293,18 @@ def test_raking_meets_marginals():
     assert np.allclose(np.bincount(k, tokens * w), [50, 50], atol=1e-6) and np.allclose(np.bincount(j, tokens * w), [30, 70], atol=1)
 
 
+def test_subject_threshold_is_the_highest_of_the_best():
+    p, y = np.array([[0.1, 0.9], [0.2, 0.7], [0.6, 0.05]]), np.array([[0, 1], [0, 1], [1, 0]])
+    assert subjects.best_threshold(p, y) == 0.6
+
+
+def test_subject_words_by_sentence_and_language():
+    ids, lens = subjects.Parser().parse(["The law is the law. A b c. Die Katze und der Hund; 12", None, "", "x " * 60 + "the of and", "one two" * 3])
+    law, cat = ids[0][:5], ids[0][5:]
+    assert list(lens[0]) == [5, 5] and law[0] == law[3] and (law < subjects.BLOCK).all() and ((cat >= subjects.BLOCK) & (cat < 2 * subjects.BLOCK)).all()
+    assert len(ids[1]) == len(ids[2]) == 0 and lens[3].sum() == len(ids[3]) == 3
+
+
 def test_subjects_held_out(spark):
     rnd = random.Random(10)
     terms = {"law": ["court", "verdict", "statute", "appeal", "plaintiff"], "sport": ["marathon", "sprint", "referee", "goalkeeper", "relay"], "physics": ["torque", "wave", "lens", "voltage", "pendulum"]}
