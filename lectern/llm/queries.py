@@ -11,10 +11,18 @@ from lectern.session import latest, materialize, table
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.turns import speaker_turns
 
-    turns = speaker_turns(table(spark, sf_dir, "segments"), table(spark, sf_dir, "lectures"))
+    turns = speaker_turns(table(spark, sf_dir, "segments"), table(spark, sf_dir, "lectures"), texts=False)
     return turns.where(F.col("speaker").isNotNull()).select("lecture_id", "first_segment", "last_segment", "speaker").distinct()
 
 
+def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lecture_id, first_segment, last_segment, speaker, text, unclear_segments, segments``: each turn with its clean text."""
+    from lectern.llm.turns import speaker_turns
+
+    turns = speaker_turns(table(spark, sf_dir, "segments"), table(spark, sf_dir, "lectures"))
+    return turns.select("lecture_id", "first_segment", "last_segment", "speaker", "text", "unclear_segments", "segments")
+
+
 def _chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = latest(table(spark, sf_dir, "youtube_chunks"), ["chunk_id"], ["raw_text", "summary"])
     return chunks.where(F.col("chunk_id").isNotNull()).select(F.col("chunk_id").alias("id"), F.concat(F.coalesce("raw_text", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))).alias("text"))
@@ -39,6 +47,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "field", F.col("e.ordinal").alias("ordinal"), F.col("e.kind").alias("kind"))
 
 
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, field, clean_text, elements_kept, elements_left_out``: the clean text of each field, without the containers that lost."""
+    from lectern.llm.markup import markup_to_text
+
+    pages = latest(table(spark, sf_dir, "handwritten_pages"), ["page_id"], ["structured_markdown", "transcript"])
+    kept = F.size(F.filter("elements", lambda e: e["kept"]))
+    return markup_to_text(pages, "page_id", ["structured_markdown", "transcript"]).select(F.col("id").alias("page_id"), "field", "clean_text", kept.alias("elements_kept"), (F.size("elements") - kept).alias("elements_left_out"))
+
+
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     blocks = latest(table(spark, sf_dir, "ocr_blocks"), ["block_uid"], ["document_id", "page", "block_id", "block_type", "raw_text", "text"])
     pages = latest(table(spark, sf_dir, "handwritten_pages"), ["page_id"], ["source_file", "page_number", "transcript"])
@@ -106,7 +123,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    windows = table(spark, sf_dir, "context_windows").where("window_name is not null and capacity_tokens > 0").limit(1000).collect()
+    windows = table(spark, sf_dir, "context_windows").where("window_name is not null and capacity_tokens > 0").limit(1001).collect()
+    if len(windows) > 1000:
+        raise ValueError("more than 1000 kinds of container")
     return {r["window_name"]: int(r["capacity_tokens"]) for r in windows}
 
 
@@ -151,7 +170,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects_of(shares).select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found}
 P3_SQL = r"""
 WITH c AS (SELECT chunk_id, coalesce(raw_text, '') || ' ' || coalesce(summary, '') AS t FROM (SELECT * FROM youtube_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) = 1) WHERE chunk_id IS NOT NULL),
 w AS (SELECT chunk_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM c),
