@@ -39,6 +39,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand_pairs(members, links).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b")).distinct()
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunk_id, group_id``: the groups of chunks that p3_found's pairs tie together."""
+    from lectern.llm.neardup import groups, near_duplicates
+
+    members, links = near_duplicates(_chunk_texts(spark, sf_dir), "id", **P3)
+    return groups(members, links).select(F.col("id").alias("chunk_id"), F.col("group").alias("group_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.markup import markup_to_text
 
@@ -170,7 +178,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects_of(shares).select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found}
 P3_SQL = r"""
 WITH c AS (SELECT chunk_id, coalesce(raw_text, '') || ' ' || coalesce(summary, '') AS t FROM (SELECT * FROM youtube_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) = 1) WHERE chunk_id IS NOT NULL),
 w AS (SELECT chunk_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM c),
@@ -179,4 +187,9 @@ n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
 p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY ALL)
 SELECT chunk_id_a, chunk_id_b FROM p JOIN n x ON x.chunk_id = chunk_id_a JOIN n y ON y.chunk_id = chunk_id_b WHERE 2 * shared >= x.n + y.n - shared
 """
-SQL = {"p3_found": P3_SQL}
+P3_GROUPS_SQL = f"""
+WITH RECURSIVE pairs AS MATERIALIZED ({P3_SQL}), edges AS (SELECT chunk_id_a AS u, chunk_id_b AS v FROM pairs UNION SELECT chunk_id_b, chunk_id_a FROM pairs),
+reach AS (SELECT u AS chunk_id, u AS other FROM edges UNION SELECT r.chunk_id, e.v FROM reach r JOIN edges e ON e.u = r.other)
+SELECT chunk_id, min(other) AS group_id FROM reach GROUP BY chunk_id
+"""
+SQL = {"p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL}

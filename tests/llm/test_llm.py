@@ -72,6 +72,27 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.expand_pairs(*neardup.near_duplicates(none, "id", k=3, threshold=0.5)).count() == 0
 
 
+def test_groups_are_connected_components(spark):
+    rnd = random.Random(12)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]
+    links = spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "cls_a long, cls_b long")
+    root = list(range(1000))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    got = {r["cls"]: r["root"] for r in neardup.components(links).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    members = spark.createDataFrame([(f"m{c}", c) for c in (0, 1, 60, 100, 900)] + [("copy", 900), ("alone", 901)], "id string, cls long")
+    assert {r["id"]: r["group"] for r in neardup.groups(members, links).collect()} == {"m0": "m0", "m1": "m0", "m60": "m0", "m900": "copy", "copy": "copy"}
+    assert neardup.groups(members.where("false"), links.where("false")).count() == 0
+
+
 def test_least_matches_rise_with_evidence():
     least = neardup.least_matches(0.5, 1e-4, [64, 128, 320])
     assert 30 < least[0] < 48 and least[0] / 64 < least[1] / 128 < least[2] / 320 < 0.75
@@ -142,7 +163,7 @@ def test_scan_noise(spark):
     assert (2, 1, "hyphenation") in got and (2, 3, "misread") in got and (2, 2, "hyphenation") not in got
     assert not {x for x in got if x[0] in (900, 901, 902)}
     text = {r["rec_id"]: r["text"] for r in scans.repair_pages(blocks(spark, rows), pages).where("rec_kind = 'block'").collect()}
-    assert text[2] == "We see the mitochondrion and a first- order question here." and text[1] == "" and text[3] == ""
+    assert text[2] == "We see the mitochondrion and a first-order question here." and text[1] == "" and text[3] == ""
     none = blocks(spark, [])
     assert scans.scan_noise(none, pages.where("false")).count() == 0
 
