@@ -27,7 +27,7 @@ NAMES = {
     "fr": ["fr", "fra", "fre", "french", "français"], "pt": ["pt", "por", "portuguese", "português"],
 }
 HESITATION = re.compile(r"u+h+m*|u+m+|e+r+m*|a+h+|ä+h+m*|ö+h+m*|e+u+h+|e+h+m*|h+m+|m+h*m*")
-SOUNDS = re.compile(r"\[[^\[\]\n]{0,60}\]|\{[^{}\n]{0,60}\}|<[^<>\n]{0,60}>|\*[^*\n]{1,40}\*|[♪♫]|\((?:inaudible|unclear|laugh\w*|sigh\w*|cough\w*|applause|music|noise|\d{1,2}:\d\d)[^()\n]{0,20}\)", re.I)
+SOUNDS = re.compile(r"\[[^\[\]\n]*\]|\{[^{}\n]*\}|<[^<>\n]*>|\*[^*\n]+\*|[♪♫]|\((?:inaudible|unclear|laugh\w*|sigh\w*|cough\w*|applause|music|noise|\d{1,2}:\d\d)[^()\n]*\)", re.I)
 PLAIN = frozenset("[{(<*♪♫\"“«„")
 TIMES = re.compile(r"\d{1,2}(?::\d{2}){1,2}(?:[.,]\d{1,3})?\s*(?:-->|-)?")
 QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|„[^“”\n]{1,80}[“”]")
@@ -99,7 +99,7 @@ SENTENCES = {"speech": speech_sentences, "page": page_sentences, "caption": capt
 def train(records: DataFrame, sample: int = 40_000) -> np.ndarray:
     """Log probabilities ``[bucket, language]`` from labelled records (``rec_key, kind, text, lang``).
 
-    All of them are counted up to ``sample``; of more, those with the lowest hashes of their keys, about ``sample`` in number. Records
+    Records without a label are passed over. All others are counted up to ``sample``; of more, those with the lowest hashes of their keys, about ``sample`` in number. Records
     whose label is unusable or whose text is null are no examples.
     """
     labelled = records.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -204,7 +204,7 @@ def infer(like: np.ndarray, words: np.ndarray, penalty: float, change: float) ->
     if len(like) > 1 and like.max(axis=1).sum() - score >= penalty:
         gain = np.maximum(like - like[:, best[0]][:, None], 0).sum(axis=0)
         able = [j for j in range(like.shape[1]) if j == best[0] or gain[j] >= penalty / 2]
-        for size in (2, 3):
+        for size in range(2, len(able) + 1):
             options = [(c, *_mixture(like, words, c)) for c in combinations(able, size) if set(best) <= set(c)]
             if not options:
                 break

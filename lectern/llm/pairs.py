@@ -1,8 +1,9 @@
 """Broken prompt and response pairs: empty, truncated, refusal, copies_question, other_language, dangling_citation.
 
-Openings of responses that take up nothing of their message are clustered by verified MinHash (``neardup``); a cluster that recurs
-across different messages and takes up nothing of nine in ten of them is a refusal template, unless it is so short that it may be a sound answer and does not decline. Copy, language, termination and citation checks give the
-other types.
+Refusals are revealed by recurrence, in whatever words: openings of responses are clustered by verified MinHash (``neardup``); a cluster, or a run of five words, that
+recurs over unrelated messages and takes up nothing of them is a template, and so is an opening put together from such runs. Short templates may be sound
+answers ("Option B") and are refusals only where they stand without sources clearly more often than answers do. Copy, language,
+termination and citation checks give the other types.
 """
 
 from __future__ import annotations
@@ -22,20 +23,9 @@ from lectern.llm.languages import LANGS, SENTENCE, WORD, Scorer
 from lectern.llm.neardup import near_duplicates
 from lectern.session import materialize
 
-#: Answers that say nothing, ways to decline, courtesies after declining, requests for a language.
+#: Answers that say nothing, courtesies after the answer, requests for a language.
 NOTHING = {"none", "null", "nil", "n a", "na", "nan", "undefined", "tbd", "no answer", "no response"}
-DECLINES = re.compile(
-    r"\bI(?:'m| am)? (?:can(?:no|')t|can not|unable|not able|won't be able|will not be able|(?:do not|don't) have (?:enough )?information|couldn't find|could not find|(?:must|have to) (?:decline|refuse|pass))\b"
-    r"|\b(?:I|we) can(?:'t|not) (?:help|answer|assist|discuss|provide)|\bno answer can be given\b|\bI must decline\b|\boutside my scope\b"
-    r"|\bI found nothing\b|\bnichts (?:\w+ ){0,3}gefunden\b|\bno (?:he encontrado|encontré) nada\b|\bn'ai rien trouvé\b|\bnão encontrei nada\b"
-    r"|\bno puedo (?:ayudar|responder|contestar)|\b(?:debo|tengo que) (?:rechazar|declinar)"
-    r"|\bne peux pas\b|\bdois (?:refuser|décliner)|\bne suis pas en mesure"
-    r"|\bdarf ich keine Auskunft\b|\bkann ich (?:\w+ ){0,4}nicht\b|\bich kann (?:\w+ ){0,4}nicht (?:helfen|beantworten)|\bmuss (?:ich )?(?:\w+ ){0,3}ablehnen|\bnicht (?:helfen|beantworten)\b"
-    r"|\bnão (?:consigo|posso) (?:responder|ajudar)|\b(?:preciso|tenho de|tenho que|devo) recusar",
-    re.I,
-)
 COURTESY = re.compile(r"\b(?:please|rephras\w+|anything else|instructor|contact|try again|por favor|bitte|veuillez|something else)\b", re.I)
-GOES_ON = re.compile(r",\s*(?:but|however|aber|mais|pero|mas)\b|:\s+\S", re.I)
 ASKED = re.compile(r"\b(?:(?:answer|reply|respond|response|write|translate\w*(?: your answer)?|antworte\w*|responde\w*|répond\w*|responda\w*)\b[^.?!]{0,40}?\b(?:in|into|auf|en|em)\s+)(\w+)", re.I)
 ASKED_NAMES = {
     "en": ["english", "englisch", "anglais", "inglés", "inglês"], "de": ["german", "deutsch", "allemand", "alemán", "alemão"], "es": ["spanish", "spanisch", "espagnol", "español", "castellano", "espanhol"],
@@ -57,7 +47,7 @@ def _words(text: str) -> list[str]:
 
 
 def is_empty(response: str) -> bool:
-    t = html.unescape(re.sub(r"<[^<>]{0,40}>", " ", response))
+    t = html.unescape(re.sub(r"<[^<>]*>", " ", response))
     ws = _words(t)
     return not ws or " ".join(ws) in NOTHING
 
@@ -101,7 +91,7 @@ def cited_numbers(response: str) -> set[int]:
     for m in CITED.finditer(CODE.sub(" ", response)):
         for part in re.split(r"[,;]", m[1] or m[2]):
             ends = [int(x) for x in re.findall(r"\d+", part)]
-            out |= set(range(ends[0], ends[-1] + 1)) if len(ends) == 2 and 0 <= ends[1] - ends[0] <= 100 else set(ends)
+            out |= set(range(ends[0], ends[-1] + 1)) if len(ends) == 2 and ends[0] <= ends[1] else set(ends)
     return out
 
 
@@ -138,6 +128,9 @@ def _language(like: np.ndarray, words: np.ndarray, least: float) -> tuple[int |
     return (int(total.argmax()) if gap[0] - gap[1] >= least else None), n
 
 
+LISTED = re.compile(r"(?m)^\s*(?:[-*•]|\d{1,3}[.)])\s|```")
+
+
 def _features(shared):
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = Scorer(shared.value)
@@ -145,7 +138,8 @@ def _features(shared):
             rows, texts, asked_of = [], [], {}
             for i, message, response, sources in zip(pdf["id"], pdf["message"], pdf["response"], pdf["sources"]):
                 message, response = message or "", response or ""
-                found, opening, declines, bare = [], "", False, False
+                found, opening, bare = [], "", False
+                numbers = source_numbers(sources)
                 if is_empty(response):
                     found.append("empty")
                 elif copies(message, response):
@@ -153,21 +147,21 @@ def _features(shared):
                 else:
                     sentences = [s for s in STATEMENT.split(response.strip()) if WORD.search(s)]
                     opening = sentences[0] if sentences else ""
-                    how = DECLINES.search(opening)
-                    declines = how is not None
-                    rest = (s for s in sentences[1:] if not COURTESY.search(s) and not DECLINES.search(s))
-                    bare = not any(len(_words(s)) >= 4 for s in rest) and not GOES_ON.search(opening, how.end() if how else 0)
+                    bare = not LISTED.search(response) and not any(not COURTESY.search(s) and len(_words(s)) >= 4 for s in sentences[1:])
                     if is_truncated(response):
                         found.append("truncated")
                     asked = ASKED.search(message)
                     want = LANG_OF_NAME.get(asked[1].lower()) if asked else None
                     asked_of[len(rows)] = (want, len(texts))
                     texts += [_plain_sentences(response), _plain_sentences(message[: asked.start()] if want else message)]
-                    if "[" in response and cited_numbers(response) - source_numbers(sources):
+                    if "[" in response and cited_numbers(response) - numbers:
                         found.append("dangling_citation")
                 said = _words(message)
-                taken = len({w for w in said if len(w) >= 5} & set(_words(response))) if bare else 0
-                rows.append((i, found, re.sub(r"\d+", "0", " ".join(_words(opening))) if bare else "", declines, bare, taken, int.from_bytes(hashlib.blake2b(" ".join(said).encode(), digest_size=8).digest(), "big", signed=True)))
+                long = {w for w in said if len(w) >= 5}
+                taken = len(long & set(_words(response))) if opening else 0
+                # messages of the same content words are one, in whatever order and with whatever numbers
+                about = " ".join(sorted(w for w in long if not w.isdigit())) or " ".join(said)
+                rows.append((i, found, re.sub(r"\d+", "0", " ".join(_words(opening))), bare, taken, not numbers, int.from_bytes(hashlib.blake2b(about.encode(), digest_size=8).digest(), "big", signed=True)))
             like, words = score.sentences([s for t in texts for s in t])
             cut = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(int)
             for row, (want, at) in asked_of.items():
@@ -175,46 +169,63 @@ def _features(shared):
                 mine, _ = _language(like[cut[at + 1] : cut[at + 2]], words[cut[at + 1] : cut[at + 2]], 2.0)
                 if got is not None and LANGS[got] != want and (want is not None or (mine is not None and got != mine)):
                     rows[row][1].append("other_language")
-            yield pd.DataFrame(rows, columns=["id", "found", "opening", "declines", "bare", "taken", "message"])
+            yield pd.DataFrame(rows, columns=["id", "found", "opening", "bare", "taken", "unsourced", "message"])
 
     return features
 
 
-def pair_defects(pairs: DataFrame, model: np.ndarray, least_messages: int = 3, least_words: int = 6, salts: int = 16) -> DataFrame:
+def pair_defects(pairs: DataFrame, model: np.ndarray, least_messages: int = 3, least_words: int = 6, idle_share: float = 0.5, clearly: float = 2.5, salts: int = 16) -> DataFrame:
     """``id, defect``: one row per defect of each pair (``id, message, response, sources``; one row per id).
 
     Null texts are empty ones; an empty response has no further defect, nor has one that only repeats its message. Null,
-    empty and malformed sources hold no citation numbers. ``least_messages`` is the number of different messages over
-    which a cluster of openings must recur to be a template, whatever its words; recurring openings of less than
-    ``least_words`` words may be short sound answers ("Option B") and are refusals only if they decline. An opening that
-    itself declines counts from its first use. Very long responses are read whole. Extra columns are ignored.
+    empty and malformed sources hold no citation numbers. ``least_messages`` is the number of unrelated messages (of different content words) over
+    which an opening must recur to be a template, by itself, in its cluster, or run by run of five words; ``idle_share`` the share of its uses, in all answers, that
+    say no more than it and take up no word of five letters or more of the message. A template of less than ``least_words`` words is a refusal only if its answers stand without
+    sources ``clearly`` (standard deviations) more often than all answers. An answer that goes on to something else is no refusal; a refusal in words that
+    recur nowhere is not found. Very long responses are read whole. Extra columns are ignored.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(model)
     kind = pairs.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, found array<string>, opening string, declines boolean, bare boolean, taken int, message bigint"
+    schema = f"id {kind}, found array<string>, opening string, bare boolean, taken int, unsourced boolean, message bigint"
     rows = materialize(pairs.select("id", "message", "response", "sources").mapInPandas(_features(shared), schema), "pairs")
     fixed = rows.select("id", F.explode("found").alias("defect"))
 
-    # bare answers that take up nothing of the message: what their openings have in common across messages
-    said = rows.where(F.col("bare") & (F.col("opening") != "")).withColumn("idle", F.col("taken") == 0)
-    bare = said.where(F.col("taken") <= 1)
-    openings = said.groupBy("opening").agg(F.count_distinct(F.when(F.col("idle"), F.col("message"))).alias("messages"), F.count("*").alias("n"), F.count_if("idle").alias("idle"), F.max(F.when(F.col("taken") <= 1, F.col("declines").cast("int"))).alias("declines"))
-    openings = materialize(openings, "openings")
+    said = rows.where(F.col("opening") != "").withColumn("idle", F.col("bare") & (F.col("taken") == 0))
+    openings = materialize(said.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("idle").alias("idle"), F.count_if(F.col("bare") & F.col("unsourced")).alias("unsourced"), F.count_if("bare").alias("bare")), "openings")
+    uses = materialize(said.where("idle").select("opening", "message").distinct(), "uses")
+
+    # runs of five words (a shorter opening is one run) over unrelated messages
+    w = F.split("opening", " ")
+    run = F.when(F.size(w) < 5, F.array("opening")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.array_join(F.slice(w, i + 1, 5), " ")))
+    every = openings.select("n", "idle", F.explode(F.array_distinct(run)).alias("run"))
+    openings = openings.where("idle > 0")
+    every = every.groupBy("run").agg(F.sum("n").alias("n"), F.sum("idle").alias("idle")).where(F.col("idle") >= F.col("n") * idle_share).select("run")
+    runs_of = openings.select("opening", F.explode(F.array_distinct(run)).alias("run"))
+    spread = runs_of.join(uses, "opening").select("run", "message").distinct().groupBy("run").agg(F.count("*").alias("messages")).where(F.col("messages") >= least_messages)
+    good = every.join(spread, "run").select("run", F.lit(1).alias("good"))
+    composed = runs_of.join(good, "run", "left").groupBy("opening").agg(F.count("*").alias("all"), F.count("good").alias("good")).where("all = good").select("opening")
+
+    # clusters of openings over unrelated messages
     members, links = near_duplicates(openings.select(F.col("opening").alias("id"), F.col("opening").alias("text")), "id", k=5, threshold=0.8, bands=20, rows=6)
     members = members.withColumnRenamed("id", "opening")
     both = links.select("cls_a", "cls_b").unionByName(links.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"))).unionByName(members.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")).distinct())
-    # an opening that recurs by itself makes its cluster one that recurs; of the others, each has a few messages at most, and these are counted exactly
     sized = members.join(openings, "opening")
-    often = sized.where(F.col("messages") >= least_messages).select("cls").distinct()
-    seldom = sized.where(F.col("messages") < least_messages).select("opening", "cls").join(said.where("idle").select("opening", "message").distinct(), "opening").select("cls", "message")
-    often = both.join(often.withColumnRenamed("cls", "cls_b"), "cls_b").select(F.col("cls_a").alias("cls"))
-    seldom = both.join(seldom.withColumnRenamed("cls", "cls_b"), "cls_b").groupBy("cls_a").agg(F.count_distinct("message").alias("messages")).where(F.col("messages") >= least_messages).select(F.col("cls_a").alias("cls"))
+    count = uses.groupBy("opening").agg(F.count("*").alias("messages"))
+    often = count.where(F.col("messages") >= least_messages).select("opening").join(members, "opening").select(F.col("cls").alias("cls_b")).distinct()
+    # an opening that recurs by itself makes its cluster one that recurs; of the others, each has a few messages at most, and these are counted exactly
+    seldom = uses.join(count.where(F.col("messages") < least_messages).select("opening"), "opening").join(members, "opening").select(F.col("cls").alias("cls_b"), "message")
+    often = both.join(often, "cls_b").select(F.col("cls_a").alias("cls"))
+    seldom = both.join(seldom, "cls_b").groupBy("cls_a").agg(F.count_distinct("message").alias("messages")).where(F.col("messages") >= least_messages).select(F.col("cls_a").alias("cls"))
     # an answer puts words of the message into the same frame time and again, a refusal does not
     idle = both.join(sized.groupBy(F.col("cls").alias("cls_b")).agg(F.sum("n").alias("n"), F.sum("idle").alias("idle")), "cls_b").groupBy(F.col("cls_a").alias("cls")).agg(F.sum("n").alias("n"), F.sum("idle").alias("idle"))
-    template = often.unionByName(seldom).distinct().join(idle.where(F.col("idle") * 10 >= F.col("n") * 9), "cls")
-    recurring = members.join(template, "cls").select("opening").where(F.size(F.split("opening", " ")) >= least_words)
-    revealed = recurring.unionByName(openings.where("declines = 1").select("opening")).distinct()
+    clustered = members.join(often.unionByName(seldom).distinct().join(idle.where(F.col("idle") >= F.col("n") * idle_share), "cls"), "cls").select("opening")
+
+    # short templates: whether their answers lack sources more often than answers do
+    at_large = rows.agg(F.avg(F.col("unsourced").cast("double")).alias("p"))
+    z = (F.col("unsourced") - F.col("bare") * F.col("p")) / F.sqrt(F.greatest(F.col("bare") * F.col("p") * (1 - F.col("p")), F.lit(1e-9)))
+    template = openings.join(composed.unionByName(clustered).distinct(), "opening").join(F.broadcast(at_large))  # one row
+    revealed = template.where((F.size(w) >= least_words) | (z >= clearly)).select("opening")
     # one refusal may be the opening of a third of all answers
-    salted = bare.select("id", "opening", F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
+    salted = said.where(F.col("bare") & (F.col("taken") <= 1)).select("id", "opening", F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
     refusals = salted.join(revealed.select("opening", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), ["opening", "salt"]).select("id", F.lit("refusal").alias("defect"))
     return fixed.unionByName(refusals)
