@@ -83,31 +83,31 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``table_name, rec_key, label, kind, text, lang`` of segments, pages and the chunks of videos."""
+    """``table_name, rec_key, kind, text, lang`` (of the label; null for captions) of segments, pages and the chunks of videos, written once."""
     from lectern.llm.languages import canonical
 
     seg = latest(table(spark, sf_dir, "segments"), ["lecture_id", "segment_index"], ["language", "text"])
-    seg = seg.select(F.lit("segments").alias("table_name"), F.concat_ws("#", "lecture_id", F.col("segment_index").cast("string")).alias("rec_key"), F.col("language").alias("label"), F.lit("speech").alias("kind"), "text")
+    seg = seg.select(F.lit("segments").alias("table_name"), F.concat_ws("#", "lecture_id", F.col("segment_index").cast("string")).alias("rec_key"), F.lit("speech").alias("kind"), "text", F.col("language").alias("label"))
     pages = latest(table(spark, sf_dir, "handwritten_pages"), ["page_id"], ["language", "transcript"])
-    pages = pages.select(F.lit("handwritten_pages").alias("table_name"), F.col("page_id").cast("string").alias("rec_key"), F.col("language").alias("label"), F.lit("page").alias("kind"), F.col("transcript").alias("text"))
-    videos = table(spark, sf_dir, "video_meta").groupBy("video_id").agg(F.max("transcript_language").alias("label"))
+    pages = pages.select(F.lit("handwritten_pages").alias("table_name"), F.col("page_id").cast("string").alias("rec_key"), F.lit("page").alias("kind"), F.col("transcript").alias("text"), F.col("language").alias("label"))
+    # a video's label is joined to the sum over its chunks, one row a video, not to the chunks
     chunks = latest(table(spark, sf_dir, "youtube_chunks"), ["chunk_id"], ["video_id", "raw_text"])
-    # a stream may hold a third of all chunks: its label is joined to salted keys
-    salt = F.pmod(F.hash("chunk_id"), F.lit(16)).alias("salt")
-    chunks = chunks.select("video_id", "raw_text", salt).join(videos.select("video_id", "label", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")), ["video_id", "salt"])
-    chunks = chunks.select(F.lit("video_meta").alias("table_name"), F.col("video_id").alias("rec_key"), "label", F.lit("caption").alias("kind"), F.col("raw_text").alias("text"))
-    return seg.unionByName(pages).unionByName(chunks).withColumn("lang", canonical(F.col("label")))
+    chunks = chunks.where(F.col("video_id").isNotNull()).select(F.lit("video_meta").alias("table_name"), F.col("video_id").alias("rec_key"), F.lit("caption").alias("kind"), F.col("raw_text").alias("text"), F.lit(None).cast("string").alias("label"))
+    records = seg.unionByName(pages).unionByName(chunks)
+    return materialize(records.select("table_name", "rec_key", "kind", "text", canonical(F.col("label")).alias("lang")), "language-records")
 
 
 def languages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record: ``table_name, rec_key, lang`` (of the label), ``main, confidence, pieces``; videos by the words of all their chunks."""
-    from lectern.llm.languages import LANGS, detect_languages, train
+    from lectern.llm.languages import LANGS, canonical, detect_languages, train
 
     records = language_records(spark, sf_dir)
-    found = materialize(detect_languages(records.select("table_name", "rec_key", "kind", "text", "lang"), train(records)), "languages")
+    found = materialize(detect_languages(records, train(records)), "languages")
     short = found.where("table_name <> 'video_meta'").select("table_name", "rec_key", "lang", "main", "confidence", "pieces")
     sums = [F.sum(F.col("counts")[i]).alias(x) for i, x in enumerate(LANGS)]
-    by_video = found.where("table_name = 'video_meta' and main is not null").groupBy("table_name", "rec_key").agg(F.max("lang").alias("lang"), *sums)
+    by_video = found.where("table_name = 'video_meta' and main is not null").groupBy("table_name", "rec_key").agg(*sums)
+    labels = table(spark, sf_dir, "video_meta").groupBy("video_id").agg(F.max("transcript_language").alias("label"))
+    by_video = by_video.join(labels.select(F.col("video_id").alias("rec_key"), canonical(F.col("label")).alias("lang")).hint("merge"), "rec_key")
     most = F.array_max(F.array(*[F.struct(F.col(x).alias("n"), F.lit(-i).alias("order"), F.lit(x).alias("x")) for i, x in enumerate(LANGS)]))
     total = sum((F.col(x) for x in LANGS[1:]), F.col(LANGS[0]))
     by_video = by_video.select("table_name", "rec_key", "lang", most["x"].alias("main"), (most["n"] / total).alias("confidence"), F.array().cast("array<struct<lang:string,words:int>>").alias("pieces"))
@@ -152,15 +152,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(packed, _capacities(spark, sf_dir))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     from lectern.llm.languages import canonical
-    from lectern.llm.mixing import mix_sources
+    from lectern.llm.mixing import mix_sources, smoothed
     from lectern.llm.packing import default_tokenizer, token_counts
 
     topics = table(spark, sf_dir, "courses").groupBy("course_id").agg(F.max("subject").alias("topic"))
     docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "course_id", "text"), default_tokenizer())
     docs = docs.join(topics, "course_id", "left").select("doc_id", "source", canonical(F.col("lang")).alias("lang"), "topic", "tokens")
-    return mix_sources(docs, table(spark, sf_dir, "mix_targets"))
+    return mix_sources(docs, table(spark, sf_dir, "mix_targets"), lang_targets=smoothed, topic_targets=smoothed, size=0.75)
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +171,35 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p9_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What source, language and topic were to have and reached."""
+    return _mix(spark, sf_dir)[2]
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``too_many_copies, twice, unknown, off_target``: what must not be in a mix, counted over all its documents; the SQL twin says 0 for each."""
+    docs, shares, _ = _mix(spark, sf_dir)
+    limits = table(spark, sf_dir, "mix_targets").select("source", "max_repeats")
+    known = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("own"))
+    x = docs.groupBy("doc_id", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).join(limits, "source", "left").join(known, "doc_id", "left")
+    counts = x.agg(F.count_if(F.col("max_repeats").isNull() | (F.col("copies") > F.col("max_repeats"))).alias("too_many_copies"), F.count_if(F.col("rows") > 1).alias("twice"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("unknown"))
+    able = F.sum(F.when(F.col("tokens") > 0, F.col("target_share")))
+    # shares relative to the sources that have documents, within two hundredths
+    met = shares.crossJoin(F.broadcast(shares.agg(able.alias("able")))).agg(F.count_if((F.col("tokens") > 0) & (F.abs(F.col("share") - F.col("target_share") / F.col("able")) > 0.02)).alias("off_target"))  # one row
+    return counts.crossJoin(F.broadcast(met))
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each window, over all containers and documents: overfull containers, and documents cut needlessly; and how many documents are placed."""
+    packed = p8_containers(spark, sf_dir)
+    caps = spark.createDataFrame([(w, c) for w, c in _capacities(spark, sf_dir).items()], "window string, capacity int")
+    full = packed.groupBy("window", "container").agg(F.sum("tokens").alias("held")).join(F.broadcast(caps), "window")
+    full = full.groupBy("window").agg(F.count_if(F.col("held") > F.col("capacity")).alias("overfull"))
+    cut = packed.groupBy("window", "doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("size"), F.max("tokens").alias("largest")).join(F.broadcast(caps), "window")
+    cut = cut.groupBy("window").agg(F.count_if(F.col("parts") != F.ceil(F.col("size") / F.col("capacity"))).alias("cut_needlessly"), F.count("*").alias("documents"))
+    return full.join(cut, "window").select("window", "overfull", "cut_needlessly", "documents")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.subjects import subject_shares, subjects_of
 
@@ -178,7 +207,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects_of(shares).select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_documents": p9_documents, "p9_shares": p9_shares, "p9_margins": p9_margins, "p9_checks": p9_checks, "p10_found": p10_found}
 P3_SQL = r"""
 WITH c AS (SELECT chunk_id, coalesce(raw_text, '') || ' ' || coalesce(summary, '') AS t FROM (SELECT * FROM youtube_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) = 1) WHERE chunk_id IS NOT NULL),
 w AS (SELECT chunk_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM c),
@@ -192,4 +221,9 @@ WITH RECURSIVE pairs AS MATERIALIZED ({P3_SQL}), edges AS (SELECT chunk_id_a AS
 reach AS (SELECT u AS chunk_id, u AS other FROM edges UNION SELECT r.chunk_id, e.v FROM reach r JOIN edges e ON e.u = r.other)
 SELECT chunk_id, min(other) AS group_id FROM reach GROUP BY chunk_id
 """
-SQL = {"p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL}
+SQL = {
+    "p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL,
+    # what must hold of any packing and any mix, whatever its order: every document with a token placed whole, none above its repeats
+    "p8_checks": "SELECT window_name AS \"window\", 0::BIGINT AS overfull, 0::BIGINT AS cut_needlessly, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents FROM context_windows WHERE capacity_tokens > 0",
+    "p9_checks": "SELECT 0::BIGINT AS too_many_copies, 0::BIGINT AS twice, 0::BIGINT AS unknown, 0::BIGINT AS off_target",
+}
