@@ -4,7 +4,8 @@ Documents fall into cells by source, language and topic (a fixed, small number;
 driver). The token weight of each cell is raked in turn to the source, language and topic marginals, never above the source's
 largest number of repeats; the source marginal is raked last, so it is the one that is met. The weight is the expected number of copies of
 each document of the cell. Copies are drawn systematically: within shards of a cell, in order of size, so the tokens drawn follow the
-weight closely; the largest documents are drawn first and the weights of the others calibrated to what is left.
+weight closely; the largest documents are drawn first and the weights of the others calibrated to what is left. A document of more than half of what its source may give at all is not
+drawn, since no draw could then meet the share.
 """
 
 from __future__ import annotations
@@ -40,13 +41,24 @@ def rake(tokens: np.ndarray, keys: list[np.ndarray], targets: list[np.ndarray],
     return w
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, shard_rows: int = 20_000, classes: tuple[float, ...] = (1 / 50, 1 / 200, 1 / 800), seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """(documents: ``doc_id, source, tokens, copies``; shares: ``source, target_share, max_repeats, documents, tokens, share``).
+def smoothed(shares: dict[str, float], power: float = 0.7) -> dict[str, float]:
+    """Shares raised to a power below 1 and normalised: small parts gain, large ones lose."""
+    raised = {k: v**power for k, v in shares.items() if v > 0}
+    total = sum(raised.values())
+    return {k: v / total for k, v in raised.items()}
+
+
+def mix_sources(docs: DataFrame, targets: DataFrame, lang_targets=None, topic_targets=None, size: float = 1.0, shard_rows: int = 20_000, classes: tuple[float, ...] = (1 / 50, 1 / 200, 1 / 800), seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: ``doc_id, source, tokens, copies``; shares: ``source, target_share, max_repeats, documents, tokens, share``; margins: ``dimension, value,
+    target_share, tokens, share``, the same for source, lang and topic).
 
     ``docs``: doc_id, source, lang, topic, tokens; ``targets``: source, target_share, max_repeats (one row per source, few).
-    The mix is the largest at which every source that has tokens meets its share (relative to those sources) within its repeats. A
+    The mix is ``size`` of the largest at which every source that has tokens meets its share (relative to those sources) within its repeats; at the largest, a source that is
+    used up leaves its languages and topics no room, so smaller mixes come nearer to those targets. A
     source without documents, or not in ``targets``, or null, gives nothing; null languages and topics are cells of their own; documents
-    without tokens are never drawn. Language and topic marginals are those of the documents themselves.
+    without tokens are never drawn. ``lang_targets`` and ``topic_targets`` are dictionaries of shares (values without documents are passed over, values not named get
+    nothing), or functions from the documents' own shares to such a dictionary; without them the margin is that of the documents themselves. All three are raked in turn;
+    where they cannot all be met within the repeats, the source's share is, and ``margins`` tells what the others reached.
     """
     spark = docs.sparkSession
     wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.limit(MOST_CELLS + 1).collect() if r["source"] is not None}
@@ -62,7 +74,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, shard_rows: int = 20_000, c
     schema = "doc_id bigint, source string, tokens bigint, copies int"
     if not got:
         empty = spark.createDataFrame([], schema)
-        return empty, _shares(empty, targets)
+        return empty, _shares(empty, targets), spark.createDataFrame([], "dimension string, value string, target_share double, tokens bigint, share double")
     tokens = np.array([r["tokens"] for r in got], float)
     keys, names = [], []
     for c in ("source", "lang", "topic"):
@@ -75,22 +87,32 @@ def mix_sources(docs: DataFrame, targets: DataFrame, shard_rows: int = 20_000, c
     have = np.bincount(keys[0], tokens, len(names[0]))
     able = share > 0
     total = float((have[able] * caps_of[able] / share[able]).min()) if able.any() else 0.0
+    total *= size
     caps = caps_of[keys[0]]
-    marginals = [share] + [np.bincount(k, tokens, len(n)) / tokens.sum() for k, n in zip(keys[1:], names[1:])]
+    marginals = [share]
+    for k, n, given in zip(keys[1:], names[1:], (lang_targets, topic_targets)):
+        own = np.bincount(k, tokens * share[keys[0]] / np.maximum(have[keys[0]], 1), len(n))  # of a mix that meets the sources' shares
+        own = own / own.sum() if own.sum() else own
+        if given is not None:
+            table = given(dict(zip(n, own))) if callable(given) else given
+            wished = np.array([max(float(table.get(x, 0.0)), 0.0) for x in n])
+            own = wished / wished.sum() if wished.sum() else own
+        marginals.append(own)
     weight = rake(tokens, keys, marginals, caps, total)
 
     want = share * total
 
     def drawn(part: DataFrame, w: np.ndarray) -> DataFrame:
         """Copies of the documents of ``part`` with cell weights ``w``: systematic along the cells of each shard of a source."""
-        rows = [(r["source"], r["lang"], r["topic"], float(w[i]), max(1, math.ceil(of_source[r["source"]] / shard_rows))) for i, r in enumerate(got)]
-        table = spark.createDataFrame(rows, "source string, lang string, topic string, weight double, shards int")
+        rows = [(r["source"], r["lang"], r["topic"], float(w[i]), max(1, math.ceil(of_source[r["source"]] / shard_rows)), float(want[keys[0][i]] / 2)) for i, r in enumerate(got)]
+        table = spark.createDataFrame(rows, "source string, lang string, topic string, weight double, shards int, most double")
         x = part.join(F.broadcast(table), ["source", "lang", "topic"])
         x = x.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards").cast("long")))
         start = F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
         along = Window.partitionBy("source", "shard").orderBy("lang", "topic", "tokens", F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         x = x.withColumn("upto", F.sum("weight").over(along)).withColumn("u", start + 1e-9)
         copies = F.floor(F.col("upto") + F.col("u")) - F.floor(F.col("upto") - F.col("weight") + F.col("u"))
+        copies = F.when(F.col("tokens") <= F.col("most"), copies).otherwise(0)
         return x.select("doc_id", "source", "lang", "topic", "tokens", F.least(copies, F.lit(int(caps_of.max()))).cast("int").alias("copies"))
 
     of_source: dict[str, int] = {}
@@ -115,8 +137,16 @@ def mix_sources(docs: DataFrame, targets: DataFrame, shard_rows: int = 20_000, c
         for _ in range(60):
             now = np.bincount(keys[0], rest * weight, len(names[0]))
             weight = np.minimum(weight * np.divide(np.maximum(want - taken, 0), now, out=np.ones(len(now)), where=now > 0)[keys[0]], caps)
-    out = out.where("copies > 0").select("doc_id", "source", "tokens", "copies")
-    return out, _shares(out, targets)
+    out = out.where("copies > 0")
+    margins = [(d, x, float(t)) for d, n, m in zip(("source", "lang", "topic"), names, marginals) for x, t in zip(n, m)]
+    reached = out.groupBy("source", "lang", "topic").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
+    reached = reached.select("tokens", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("source", "lang", "topic")])).alias("x"))
+    reached = reached.groupBy("x.dimension", "x.value").agg(F.sum("tokens").alias("tokens"))
+    reached = spark.createDataFrame(margins, "dimension string, value string, target_share double").join(reached, ["dimension", "value"], "left")
+    share_of = F.col("tokens") / F.sum("tokens").over(Window.partitionBy("dimension"))  # one row per value
+    reached = reached.select("dimension", "value", F.round("target_share", 6).alias("target_share"), F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"), F.round(F.coalesce(share_of, F.lit(0.0)), 6).alias("share"))
+    out = out.select("doc_id", "source", "tokens", "copies")
+    return out, _shares(out, targets), reached
 
 
 def _shares(out: DataFrame, targets: DataFrame) -> DataFrame:

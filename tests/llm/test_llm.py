@@ -248,9 +248,12 @@ def test_refusals_by_recurrence(spark, model):
     rows += [("o0", asked(0), "Requests like yours go to the registry office on the ground floor.", src), ("o1", asked(0), "Requests like yours go to the registry office on the ground floor.", src), ("o2", asked(0), "Requests like yours go to the registry office on the ground floor.", src)]  # one message
     rows += [(f"s{i}", asked(i), "No, only the second one.", src) for i in range(5)]  # short and sound
     rows += [(f"f{i}", asked(i), f"Chapter 7 shows in detail and with many examples what everybody should know of it, as the {framed[i % 4]}.", src) for i in range(8)]  # sound, in one frame
-    rows += [("d", asked(0), "Leider kann ich diese Frage nicht beantworten.", src)]  # declines, once
+    rows += [("d", asked(0), "Leider kann ich diese Frage nicht beantworten.", src)]  # declines, but once: nothing recurs, so nothing is revealed
+    rows += [(f"p{i}", asked(i), "I have to decline." if i % 2 else "I have to decline. Ask them, please.", None) for i in range(12)]  # short, and without sources
+    parts = [f"{a}, {b} {c}." for a in ("As a tutor for this course", "On behalf of the whole team", "After a look at the rules") for b in ("nothing can be said here about it", "we leave this to the people in charge", "such things stay out of the chat") for c in ("for the time being", "until the term ends again", "as you may well know")]
+    rows += [(f"k{i}", asked(i), t, src) for i, t in enumerate(parts)]  # each once, put together from parts that recur
     got = pairs.pair_defects(spark.createDataFrame(rows, "id string, message string, response string, sources string"), model).where("defect = 'refusal'").collect()
-    assert {r["id"] for r in got} == {f"x{i}" for i in range(4)} | {f"y{i}" for i in range(3)} | {"d"}
+    assert {r["id"] for r in got} == {f"x{i}" for i in range(4)} | {f"y{i}" for i in range(3)} | {f"p{i}" for i in range(12)} | {f"k{i}" for i in range(27)}
 
 
 def test_packing_is_whole_and_never_overfull(spark):
@@ -300,7 +303,7 @@ def test_mixing(spark):
     rows = [(i, rnd.choice("aaab"), rnd.choice(["en", None]), rnd.choice(["x", "y"]), rnd.randint(20, 200)) for i in range(3000)] + [(9000, None, "en", "x", 5), (9001, "z", "en", "x", 5), (9002, "a", "en", "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("none", 0.1, 3)], "source string, target_share double, max_repeats int")
-    out, shares = mixing.mix_sources(docs, targets, shard_rows=500)
+    out, shares, margins = mixing.mix_sources(docs, targets, shard_rows=500)
     s = {r["source"]: r for r in shares.collect()}
     assert abs(s["a"]["share"] - 5 / 9) < 0.01 and abs(s["b"]["share"] - 4 / 9) < 0.01 and s["none"]["tokens"] == 0
     assert s["a"]["most_copies"] == 1 and s["b"]["most_copies"] == 2
@@ -308,6 +311,18 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.where("false"), targets)[0].count() == 0
 
 
+def test_mixing_to_given_margins(spark):
+    rnd = random.Random(19)
+    rows = [(i, rnd.choice("ab"), rnd.choice(["en", "en", "en", "de"]), rnd.choice(["x", "y"]), rnd.randint(20, 200)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    _, _, margins = mixing.mix_sources(docs, targets, lang_targets={"en": 0.65, "de": 0.35, "xx": 0.2}, topic_targets=lambda own: {k: 0.5 for k in own}, size=0.5, shard_rows=500)
+    got = {(r["dimension"], r["value"]): (r["target_share"], r["share"]) for r in margins.collect()}
+    assert set(got) == {("source", "a"), ("source", "b"), ("lang", "en"), ("lang", "de"), ("topic", "x"), ("topic", "y")}
+    assert abs(got["lang", "de"][0] - 0.35) < 1e-6 and abs(got["source", "a"][1] - 0.5) < 0.005 and got["lang", "de"][1] > 0.3 and abs(got["topic", "x"][1] - 0.5) < 0.02
+    assert abs(sum(mixing.smoothed({"a": 0.9, "b": 0.1}).values()) - 1) < 1e-9 and mixing.smoothed({"a": 0.9, "b": 0.1})["b"] > 0.1
+
+
 def test_raking_meets_marginals():
     tokens, k, j = np.array([10.0, 20, 30, 40]), np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
     w = mixing.rake(tokens, [k, j], [np.array([0.5, 0.5]), np.array([0.3, 0.7])], np.full(4, 9.0), 100)
