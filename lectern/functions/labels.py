@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks of programming languages, in the order that breaks ties.
+#: Marks of programming languages, in the order that breaks ties; all without regard to case, ^ and $ at line ends.
 CODE_MARKS = {
-    "python": [r"\bdef \w+\(", r"\bimport \w+", r"\bfor \w+ in ", r"\bprint\(", r"(?m)^\s*#", r":\n"],
-    "c": [r"\bint \w+\(", r"#include", r"\bprintf\(", r";\n", r"/\*"],
-    "javascript": [r"\blet \w+", r"\bconst \w+", r"\bfunction\b", r"//", r"=>"],
-    "sql": [r"(?i)\bselect\b", r"(?i)\bfrom \w+", r"(?i)\bwhere\b", r"(?m)^--"],
-    "bash": [r"(?m)^#!", r"(?m)^\./", r"\becho\b", r" --\w+", r" > \w+"],
-}
+    "python": [r"\bdef\s+\w+\s*\(", r"\bclass\s+\w+[\s:(]", r"\bimport\s+\w+", r"\bfrom\s+\w+\s+import", r"\bif\s+__name__\s*==", r":\s*$", r"\bprint\s*\(", r"\bself\.", r"->\s*\w+:", r"#.*$"],
+    "java": [r"\bpublic\s+(static\s+)?(class|void|int|String)", r"\bprivate\s+\w+\s+\w+", r"\bSystem\.out\.print", r"@Override", r"@Autowired", r"\bnew\s+\w+\s*\(", r"import\s+java\.", r";\s*$"],
+    "cpp": [r"#include\s*[<\"]", r"\bstd::", r"\bcout\s*<<", r"\bcin\s*>>", r"\busing\s+namespace\s+std", r"\bvoid\s+\w+\s*\(", r"->\w+", r"::\w+"],
+    "c": [r"#include\s*[<\"]", r"\bprintf\s*\(", r"\bscanf\s*\(", r"\bmalloc\s*\(", r"\bfree\s*\(", r"\bint\s+main\s*\(", r"\*\w+"],
+    "javascript": [
+        r"\bconst\s+\w+\s*=", r"\blet\s+\w+\s*=", r"\bvar\s+\w+\s*=", r"\bfunction\s+\w+\s*\(", r"=>\s*\{", r"\bconsole\.log\s*\(", r"===", r"!==", r"\bpromise\b", r"\basync\b", r"\bawait\b", r"document\.", r"window\.",
+    ],
+    "sql": [r"\bSELECT\b.*\bFROM\b", r"\bINSERT\s+INTO\b", r"\bUPDATE\b.*\bSET\b", r"\bDELETE\s+FROM\b", r"\bCREATE\s+(TABLE|DATABASE|INDEX)\b", r"\bWHERE\b", r"\bJOIN\b", r"\bGROUP\s+BY\b"],
+    "bash": [r"^\s*#!.*/(bash|sh|zsh)", r"\becho\s+", r"\bexport\s+", r"\$\w+", r"\|\s*\w+", r"chmod\s+", r"sudo\s+", r"&&\s*\n", r"\\\s*\n"],
+    "pseudocode": [
+        r"\bBEGIN\b", r"\bEND\b", r"\bIF\b.*\bTHEN\b", r"\bELSE\b", r"\bFOR\b.*\bDO\b", r"\bWHILE\b.*\bDO\b", r"\bRETURN\b", r"\bPRINT\b", r"←", r"\bPROCEDURE\b", r"\bFUNCTION\b",
+    ],
+}
 
 
 def _score(text: Column, patterns: list[str]) -> Column:
     out = F.lit(0)
     for p in patterns:
-        out = out + F.regexp_count(text, F.lit(p))
+        out = out + F.regexp_count(text, F.lit("(?mi)" + p))
     return out
 
 
@@ -29,11 +36,13 @@ def code_language(text: Column) -> Column:
 
 
 def is_section_title(line: Column) -> Column:
-    """At most 110 characters, no . , ; at the end, and numbered, or beginning like a chapter, or at most ten words all in capitals."""
+    """At most 110 characters, no . , ; at the end, and numbered, or beginning like a chapter, or at most ten words all in capitals or each with a capital."""
     t = F.trim(line)
     short = (F.length(t) > 0) & (F.length(t) <= 110) & ~t.rlike(r"[.,;]$")
-    numbered = t.rlike(r"^(?:\d+(?:\.\d+)*[.)]?\s+\S|(?i:chapter|unit|section|part|lecture|module|topic)\b)")
-    return F.coalesce(short & (numbered | ((F.size(F.split(t, r"\s+")) <= 10) & (F.upper(t) == t) & t.rlike("[A-Z]"))), F.lit(False))
+    numbered = t.rlike(r"^(?:\d+(?:\.\d+)*[.)]?\s+\S|(?i:chapter|unit|section|part|lecture|lesson|module|topic|slide)\b)")
+    # each run of letters begins with a capital and goes on in small letters
+    titled = t.rlike(r"[A-Z]") & ~t.rlike(r"(?:^|[^A-Za-z])[a-z]|[A-Za-z][A-Z]")
+    return F.coalesce(short & (numbered | ((F.size(F.split(t, r"\s+")) <= 10) & (((F.upper(t) == t) & t.rlike("[A-Z]")) | titled))), F.lit(False))
 
 
 def block_type(text: Column, is_code: Column, y: Column, page_height: Column) -> Column:
@@ -65,10 +74,22 @@ def metadata_boost(rules: list[tuple[Column, float]]) -> Column:
     return out
 
 
-def infer_source(keys: Column) -> Column:
-    """The kind of a record by the names of its metadata, first rule first."""
-    rules = [("video_id", "youtube"), ("lecture_id", "audio"), ("questions", "qna"), ("ocr_confidence", "image"), ("ink_quality", "handwritten"), ("section_title", "documents")]
-    out = F.lit(None).cast("string")
-    for key, kind in reversed(rules):
-        out = F.when(F.array_contains(keys, key), F.lit(kind)).otherwise(out)
-    return F.coalesce(out, F.lit("documents"))
+#: The kind of a record by the names of its metadata, first rule first; the values a field must have, where its name alone does not tell.
+SOURCE_MARKS = [
+    ("youtube", ["video_id", "deep_link"], None, []),
+    ("handwritten", ["ink_quality", "writing_style", "model_used"], None, []),
+    ("audio", [], "strategy", ["sliding_window", "concept_block", "lecture_summary"]),
+    ("image", ["gemini_summary", "gemini_topic", "ocr_confidence"], None, []),
+    ("qna", ["year_hint"], "chunk_type", ["single_qa", "multi_qa", "passage"]),
+]
+
+
+def infer_source(meta: Column) -> Column:
+    """The kind of a record from its metadata (map of names to values), by ``SOURCE_MARKS``; documents where no rule holds, and for null."""
+    out = F.lit("documents")
+    for kind, names, field, values in reversed(SOURCE_MARKS):
+        told = F.arrays_overlap(F.map_keys(meta), F.array(*map(F.lit, names))) if names else F.lit(False)
+        if field:
+            told = told | F.coalesce(F.try_element_at(meta, F.lit(field)).isin(values), F.lit(False))
+        out = F.when(F.coalesce(told, F.lit(False)), kind).otherwise(out)
+    return out

@@ -5,15 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no topic in lexical matching.
-STOP_WORDS = ["the", "and", "for", "are", "was", "with", "that", "this", "from", "what", "how", "why", "which", "when", "does", "into", "your", "you", "not", "have", "has", "can", "its", "our", "of", "in", "to", "is", "it", "on", "at", "by", "an", "as", "be", "or", "we", "if", "do"]
+#: Words left out of lexical matching.
+STOP_WORDS = [
+    "a", "an", "the", "is", "in", "on", "of", "to", "for", "and", "or", "with", "that", "this", "it", "as", "at", "be", "by", "from", "its", "was", "are", "were", "has", "have", "had", "not", "but",
+    "can", "will", "just", "do", "did", "so", "if", "we", "you", "he", "she", "they", "what", "how", "why", "when", "where", "which", "who",
+]
+#: Words left out when answers are judged.
+JUDGING_STOP_WORDS = [
+    "a", "an", "the", "is", "in", "on", "of", "to", "for", "and", "or", "with", "that", "this", "it", "as", "at", "be", "by", "from", "its", "was", "are", "were", "has", "have", "had", "not", "but",
+    "can", "will", "just", "do",
+]
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
 def tokens(text: Column, least: int = 2, letters_only: bool = False) -> Column:
-    """Lower-case ASCII tokens of at least ``least`` characters, in order, with repeats, without stop words; [] for null."""
-    pattern = (r"[a-z]" if letters_only else r"[a-z0-9_]") + "{%d,}" % least
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
+    """For lexical matching: lower-case ASCII tokens of at least ``least`` characters, in order, with repeats, without stop words; [] for null."""
+    return F.filter(_found(text, (r"[a-z]" if letters_only else r"[a-z0-9_]") + "{%d,}" % least), lambda t: ~t.isin(STOP_WORDS))
+
+
+def judging_tokens(text: Column) -> Column:
+    """For judging answers: the distinct tokens of three characters or more, without a shorter list of stop words."""
+    return F.array_distinct(F.filter(_found(text, r"[a-z0-9_]{3,}"), lambda t: ~t.isin(JUDGING_STOP_WORDS)))
+
+
+def plain_tokens(text: Column) -> Column:
+    """For live judging: the distinct tokens of three letters or digits or more, none left out."""
+    return F.array_distinct(_found(text, r"[a-z0-9]{3,}"))
 
 
 def word_list(text: Column) -> Column:

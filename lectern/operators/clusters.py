@@ -12,23 +12,35 @@ from pyspark.sql import functions as F
 from lectern.operators.boundary import hashed_embedding
 
 
-def _greedy(vectors: np.ndarray, threshold: float, look_back: int) -> list[int]:
-    centres, sizes, out = [], [], []
-    for v in vectors:
-        best, at = -1.0, -1
-        for c in range(max(0, len(centres) - look_back), len(centres)):
-            s = float(v @ centres[c] / (np.linalg.norm(v) * np.linalg.norm(centres[c]) + 1e-9))
-            if s > best:
-                best, at = s, c
-        if at >= 0 and best >= threshold:
-            sizes[at] += 1
-            centres[at] = centres[at] + (v - centres[at]) / sizes[at]
-        else:
-            centres.append(v.astype(float))
-            sizes.append(1)
-            at = len(centres) - 1
-        out.append(at)
-    return out
+class Centroids:
+    """Sums of the members of the clusters begun so far; an item is held against the newest ``look_back`` of them at once."""
+
+    def __init__(self, width: int, look_back: int, threshold: float):
+        self.sums, self.look_back, self.threshold = np.zeros((8, width)), look_back, threshold
+        self.n = 0
+
+    def assign(self, unit: np.ndarray, item: np.ndarray) -> int:
+        """The cluster an item joins: the most alike of the newest by cosine with their means (the first of equals) if at the threshold, otherwise a new one."""
+        low = max(0, self.n - self.look_back)
+        means = self.sums[low : self.n]
+        if len(means):
+            likeness = means @ unit / np.maximum(np.sqrt(np.einsum("ij,ij->i", means, means)), 1e-9)
+            best = int(likeness.argmax())
+            if likeness[best] >= self.threshold:
+                self.sums[low + best] += item
+                return low + best
+        if self.n == len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        self.sums[self.n] = item
+        self.n += 1
+        return self.n - 1
+
+
+def sequential_clusters(vectors: np.ndarray, threshold: float, look_back: int) -> list[int]:
+    """Cluster numbers of vectors in order. The cosine with a mean is that with the sum, so only sums are kept."""
+    units = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    held = Centroids(vectors.shape[1], look_back, threshold)
+    return [held.assign(u, v) for u, v in zip(units, vectors)]
 
 
 def centroid_clusters(df: DataFrame, id_col: str, items: str, threshold: float = 0.45, look_back: int = 5, embed=hashed_embedding) -> DataFrame:
@@ -42,7 +54,7 @@ def centroid_clusters(df: DataFrame, id_col: str, items: str, threshold: float =
             rows = []
             for i, texts in zip(pdf["id"], pdf["items"]):
                 if texts is not None and len(texts):
-                    rows += [(i, n, c) for n, c in enumerate(_greedy(np.array(embed(list(texts))), threshold, look_back))]
+                    rows += [(i, n, c) for n, c in enumerate(sequential_clusters(np.array(embed(list(texts)), float), threshold, look_back))]
             yield pd.DataFrame(rows, columns=["id", "position", "cluster"])
 
     kind = df.schema[id_col].dataType.simpleString()

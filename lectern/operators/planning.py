@@ -62,26 +62,25 @@ def valid_budgets(budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split_rejects(budgets, {c: F.col(c).between(*RANGES[c]) for c in budgets.columns if c in RANGES})
 
 
+#: Source, condition on its own columns, words one of which a plan's signals must hold (none: always), factor.
+BOOSTS = [
+    ("qna", "marks_hint > 0", (), 1.12),
+    ("qna", "year_hint <> 0", (), 1.05),
+    ("qna", "chunk_type IN ('single_qa', 'multi_qa')", ("exam", "question"), 1.10),
+    ("handwritten", "has_equations", ("equation", "formula"), 1.15),
+    ("handwritten", "content_type = 'equation'", (), 1.08),
+    ("handwritten", "confidence < 0.6", (), 0.85),
+    ("image", "ocr_confidence < 65", (), 0.80),
+    ("image", "has_formula", ("formula", "equation"), 1.12),
+    ("audio", "strategy = 'concept_block'", (), 1.08),
+    ("audio", "avg_confidence < 0.7", (), 0.90),
+    ("documents", "has_table", ("table", "comparison"), 1.10),
+]
+
+
 def source_boost(source: str, signals: tuple[str, ...] = ()) -> Column:
-    """Factor of a record by its metadata columns (of the source's own schema) and the signals a plan values."""
-    wants = lambda *words: any(w in s.lower() for s in signals for w in words)
-    rules: list[tuple[Column, float]] = []
-    if source == "qna":
-        rules = [(F.col("marks_hint") > 0, 1.12), (F.col("year_hint") != 0, 1.05)]
-        if wants("exam", "question"):
-            rules.append((F.col("chunk_type").isin("single_qa", "multi_qa"), 1.10))
-    elif source == "handwritten":
-        rules = [(F.col("content_type") == "equation", 1.08), (F.col("confidence") < 0.6, 0.85)]
-        if wants("equation", "formula"):
-            rules.append((F.col("has_equations"), 1.15))
-    elif source == "image":
-        rules = [(F.col("ocr_confidence") / 100 < 0.65, 0.80)]
-        if wants("formula", "equation"):
-            rules.append((F.col("has_formula"), 1.12))
-    elif source == "audio":
-        rules = [(F.col("strategy") == "concept_block", 1.08), (F.col("avg_confidence") < 0.7, 0.90)]
-    elif source == "documents" and wants("table", "comparison"):
-        rules = [(F.col("has_table"), 1.10)]
+    """Factor of a record of ``source`` by its metadata columns and the signals a plan values; a null condition does not hold."""
     from lectern.functions.labels import metadata_boost
 
-    return metadata_boost(rules)
+    valued = " ".join(signals).lower()
+    return metadata_boost([(F.expr(condition), factor) for s, condition, words, factor in BOOSTS if s == source and (not words or any(w in valued for w in words))])

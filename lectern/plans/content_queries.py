@@ -28,11 +28,11 @@ def code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _count(pattern: str) -> str:
-    return f"len(regexp_extract_all(coalesce(raw_text, ''), '{pattern}'))"
+    return f"len(regexp_extract_all(coalesce(raw_text, ''), '(?mi){pattern}'))"
 
 
 CODE_SQL = (
-    "WITH s AS (SELECT block_uid, " + ", ".join("(" + " + ".join(_count(p.replace("\\n", "\n")) for p in ps) + f") AS {name}_n" for name, ps in CODE_MARKS.items()) + f" FROM {LATEST_BLOCKS} WHERE is_code), "
+    "WITH s AS (SELECT block_uid, " + ", ".join("(" + " + ".join(_count(p) for p in ps) + f") AS {name}_n" for name, ps in CODE_MARKS.items()) + f" FROM {LATEST_BLOCKS} WHERE is_code), "
     "m AS (SELECT *, greatest(" + ", ".join(f"{n}_n" for n in CODE_MARKS) + ") AS best FROM s) SELECT block_uid, CASE WHEN best < 2 THEN 'unknown' " + " ".join(f"WHEN {n}_n = best THEN '{n}'" for n in CODE_MARKS) + " END AS language FROM m"
 )
 
@@ -46,8 +46,8 @@ TYPE_SQL = rf"""
 WITH b AS (SELECT block_uid, trim(coalesce(raw_text, ''), ' ') AS t, coalesce(is_code, false) AS c, bbox.y / 1400.0 AS p, trim(split_part(raw_text, chr(10), 1), ' ') AS l FROM {LATEST_BLOCKS})
 SELECT block_uid, CASE WHEN t = '' THEN 'unknown' WHEN c THEN 'code' WHEN len(regexp_extract_all(t, '[=+∑∫√≤≥^]')) >= 2 THEN 'formula' WHEN regexp_matches(t, '^(?:[-*•]|\d{{1,3}}[.)])\s+\S') THEN 'list_item'
  WHEN p < 0.15 AND length(t) <= 80 AND NOT regexp_matches(t, '[.]$') THEN 'heading' WHEN p > 0.85 AND length(t) <= 120 THEN 'caption' ELSE 'paragraph' END AS kind,
- coalesce(length(l) > 0 AND length(l) <= 110 AND NOT regexp_matches(l, '[.,;]$') AND (regexp_matches(l, '^(?:\d+(?:\.\d+)*[.)]?\s+\S|(?i:chapter|unit|section|part|lecture|module|topic)\b)')
-  OR (len(string_split_regex(l, '\s+')) <= 10 AND upper(l) = l AND regexp_matches(l, '[A-Z]'))), false) AS is_title FROM b"""
+ coalesce(length(l) > 0 AND length(l) <= 110 AND NOT regexp_matches(l, '[.,;]$') AND (regexp_matches(l, '^(?:\d+(?:\.\d+)*[.)]?\s+\S|(?i:chapter|unit|section|part|lecture|lesson|module|topic|slide)\b)')
+  OR (len(string_split_regex(l, '\s+')) <= 10 AND ((upper(l) = l AND regexp_matches(l, '[A-Z]')) OR (regexp_matches(l, '[A-Z]') AND NOT regexp_matches(l, '(?:^|[^A-Za-z])[a-z]|[A-Za-z][A-Z]'))))), false) AS is_title FROM b"""
 
 
 def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ SELECT chunk_id, array_to_string(list_filter(['Video', video_title, chapter_titl
 def boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = latest(table(spark, sf_dir, "handwritten_pages"), ["page_id"], ["has_equations", "content_type", "confidence"])
     b = source_boost("handwritten", ("equations",))
-    return p.select("page_id", F.round(b, 6).alias("boost"), infer_source(F.array(F.lit("ink_quality"), F.lit("page_number"))).alias("source"))
+    return p.select("page_id", F.round(b, 6).alias("boost"), infer_source(F.create_map(F.lit("ink_quality"), F.lit("x"), F.lit("page_number"), F.lit("1"))).alias("source"))
 
 
 BOOST_SQL = """

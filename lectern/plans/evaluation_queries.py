@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import cited, jaccard, sentences, tokens, video_id, word_count
+from lectern.functions.text import cited, jaccard, judging_tokens, sentences, video_id, word_count
 from lectern.operators.evaluation import completeness, entropy_diversity, latency_stats, size_stats
 from lectern.operators.sequence import previous
-from lectern.plans.retrieval_queries import LATEST_CHUNKS, TOKENS_SQL
+from lectern.plans.retrieval_queries import JUDGING_SQL, LATEST_CHUNKS
 from lectern.session import latest, table
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce({0}, ''), '[^ \t\n\r\f\x0B]+'))"
@@ -102,12 +102,12 @@ SELECT id, len(n)::INT AS cited, len(list_intersect(n, k))::INT AS valid, len(k)
 def keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the message's distinct tokens that its answer takes up, and their Jaccard similarity."""
     a = _answers(spark, sf_dir)
-    m, r = F.array_distinct(tokens(F.col("message"), 3)), F.array_distinct(tokens(F.col("response"), 3))
+    m, r = judging_tokens(F.col("message")), judging_tokens(F.col("response"))
     return a.select("id", F.size(m).alias("keywords"), F.round(F.when(F.size(m) > 0, F.size(F.array_intersect(m, r)) / F.size(m)).otherwise(0.0), 6).alias("recall"), F.round(jaccard(m, r), 6).alias("jaccard"))
 
 
 RECALL_SQL = f"""
-WITH a AS (SELECT id, list_distinct({TOKENS_SQL.replace('{{2,}}', '{{3,}}').format('message')}) AS m, list_distinct({TOKENS_SQL.replace('{{2,}}', '{{3,}}').format('response')}) AS r FROM {LATEST_CHAT})
+WITH a AS (SELECT id, {JUDGING_SQL.format('message')} AS m, {JUDGING_SQL.format('response')} AS r FROM {LATEST_CHAT})
 SELECT id, len(m)::INT AS keywords, round(CASE WHEN len(m) > 0 THEN len(list_intersect(m, r)) / len(m) ELSE 0 END, 6)::DOUBLE AS recall,
  round(CASE WHEN len(m) = 0 OR len(r) = 0 THEN 0 ELSE len(list_intersect(m, r)) / (len(m) + len(r) - len(list_intersect(m, r))) END, 6)::DOUBLE AS jaccard FROM a"""
 
@@ -115,10 +115,10 @@ SELECT id, len(m)::INT AS keywords, round(CASE WHEN len(m) > 0 THEN len(list_int
 def hallucination_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of an answer's sentences of four words or more none of whose tokens stands in the previews of its sources."""
     a = _answers(spark, sf_dir).where(F.size("items") > 0)
-    context = F.array_distinct(tokens(F.array_join(F.transform("items", lambda i: F.coalesce(i["preview"], F.lit(""))), " "), 3))
+    context = judging_tokens(F.array_join(F.transform("items", lambda i: F.coalesce(i["preview"], F.lit(""))), " "))
     said = F.filter(sentences(F.col("response")), lambda s: word_count(s) >= 4)
     x = a.select("id", context.alias("c"), said.alias("s")).where(F.size("s") > 0)
-    bare = F.size(F.filter("s", lambda s: ~F.arrays_overlap(tokens(s, 3), F.col("c"))))
+    bare = F.size(F.filter("s", lambda s: ~F.arrays_overlap(judging_tokens(s), F.col("c"))))
     return x.select("id", F.size("s").alias("sentences"), bare.alias("unsupported"), F.round(bare / F.size("s"), 6).alias("rate"))
 
 
@@ -250,7 +250,7 @@ SEED_SQL = f"""
 WITH x AS (SELECT 'doc_' || doc_id AS id, 'documents' AS source, text FROM documents UNION ALL SELECT 'yt_' || chunk_id, 'youtube', raw_text FROM {LATEST_CHUNKS}
 UNION ALL SELECT 'hw_' || page_id, 'handwritten', transcript FROM (SELECT * FROM handwritten_pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ingested_at DESC NULLS LAST) = 1)
 UNION ALL SELECT 'ocr_' || block_uid, 'image', raw_text FROM (SELECT * FROM ocr_blocks QUALIFY row_number() OVER (PARTITION BY block_uid ORDER BY ingested_at DESC NULLS LAST) = 1))
-SELECT id, source, sha256(substring(coalesce(text, ''), 1, 8000)) AS text_hash, {WORDS_SQL.format('text')}::INT AS words FROM x"""
+SELECT id, source, sha256(coalesce(text, '')) AS text_hash, {WORDS_SQL.format('text')}::INT AS words FROM x"""
 
 
 def video_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

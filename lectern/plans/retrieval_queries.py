@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import STOP_WORDS, query_hash
+from lectern.functions.text import JUDGING_STOP_WORDS, STOP_WORDS, query_hash
 from lectern.operators.retrieval import bm25_topk, dense_topk, keep_newest, metadata_filter, mmr_select, reciprocal_rank_fusion
 from lectern.session import latest, table
 
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+JUDGING_SQL = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]{{3,}}'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in JUDGING_STOP_WORDS) + ")))"
 TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]{{2,}}'), lambda t: t NOT IN (" + STOP_SQL + "))"
 
 

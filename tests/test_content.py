@@ -47,11 +47,11 @@ def test_planner(spark):
 
 
 def test_labels(spark):
-    df = spark.createDataFrame([("def f(x):\n    # a\n    return 1", 1, 1, ["video_id"]), ("hello", 2, 4, ["x"]), (None, None, 4, None)], "t string, a int, b int, k array<string>")
+    df = spark.createDataFrame([("def f(x):\n    # a\n    return 1", 1, 1, {"video_id": "v", "ingested_at": "t"}), ("hello", 2, 4, {"strategy": "other"}), (None, None, 4, None)], "t string, a int, b int, k map<string,string>")
     r = df.select(code_language(F.col("t")), page_label(F.col("a"), F.col("b")), infer_source(F.col("k")), metadata_boost([(F.col("a") > 1, 2.0), (F.col("b") > 1, 1.5)])).collect()
     assert [tuple(x) for x in r] == [("python", "1", "youtube", 1.0), ("unknown", "2–4", "documents", 3.0), ("unknown", "4", "documents", 1.5)]
-    t = spark.createDataFrame([("3.1 Waves",), ("CHAPTER ONE",), ("This is a sentence.",), ("",), (None,), ("lower case words here",)], "t string")
-    assert [x[0] for x in t.select(is_section_title(F.col("t"))).collect()] == [True, True, False, False, False, False]
+    t = spark.createDataFrame([("3.1 Waves",), ("CHAPTER ONE",), ("This is a sentence.",), ("",), (None,), ("lower case words here",), ("Each Word So",), ("Not this One",), ("Slide 4: more",)], "t string")
+    assert [x[0] for x in t.select(is_section_title(F.col("t"))).collect()] == [True, True, False, False, False, False, True, False, True]
     h = spark.createDataFrame([("equation", 0.5, True)], "content_type string, confidence double, has_equations boolean")
     assert h.select(F.round(source_boost("handwritten", ("formula",)), 6)).first()[0] == pytest.approx(1.08 * 0.85 * 1.15)
 
