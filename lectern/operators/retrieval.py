@@ -76,7 +76,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int =
     b = _blocks(vectors, block_rows, "id")
     # every query block meets every vector block: vector blocks are dealt to keys, query blocks are copied to each key
     keys = 4 * max(2, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    b = b.withColumn("key", (F.monotonically_increasing_id() % keys).cast("int"))
+    b = b.withColumn("key", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(keys)).cast("int"))
     a = a.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(keys - 1))))
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,16 +105,17 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: f
     idf, which is replaced by ``epsilon`` times the group's mean idf. Every occurrence of a query term counts; documents without a
     query term are not ranked. Joins are on (group, term), so a frequent term meets only the queries that hold it.
     """
-    words = docs.select("grp", "id", F.explode(tokens(F.col("text"))).alias("term"))
-    tf = words.groupBy("grp", "term", "id").agg(F.count("*").alias("tf"))
-    lengths = docs.select("grp", "id", F.size(tokens(F.col("text"))).alias("len"))
-    stats = lengths.groupBy("grp").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy("grp", "term").agg(F.count("*").alias("df")).join(stats, "grp")
+    # texts are taken apart once: a term carries its document's length, and a group's words are the sum over its terms
+    listed = docs.select("grp", "id", tokens(F.col("text")).alias("t"))
+    tf = listed.select("grp", "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("grp", "term", "id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    df = tf.groupBy("grp", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("words"))
+    stats = docs.groupBy("grp").agg(F.count("*").alias("n")).join(df.groupBy("grp").agg(F.sum("words").alias("words")), "grp").select("grp", "n", (F.col("words") / F.col("n")).alias("avg_len"))
+    df = df.drop("words").join(stats, "grp")
     df = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = df.groupBy("grp").agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", "grp", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "grp", "term").agg(F.count("*").alias("qtf"))
     asked = asked.join(df, ["grp", "term"]).join(mean, "grp").withColumn("idf", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")))
-    hit = asked.join(tf, ["grp", "term"]).join(lengths, ["grp", "id"])
+    hit = asked.join(tf, ["grp", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = hit.groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
     per = Window.partitionBy("query_id")
@@ -124,8 +125,14 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: f
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int, constant: int = 60) -> DataFrame:
-    """``query_id, id, rrf, methods, rank`` from ``query_id, id, method, rank, weight``: sum of weight / (constant + rank)."""
-    fused = lists.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (constant + F.col("rank"))), 9).alias("rrf"), F.array_join(F.array_sort(F.collect_set("method")), "+").alias("methods"))
+    """``query_id, id, rrf, methods, rank`` from ``query_id, id, method, rank, weight`` and, if there are, ``boost`` and ``meta``.
+
+    Score: sum of weight * boost / (constant + rank); a null boost is 1.
+    """
+    boost = F.coalesce(F.col("boost"), F.lit(1.0)) if "boost" in lists.columns else F.lit(1.0)
+    # of a record's metadata those of the list named first are kept
+    meta = [F.min_by("meta", F.struct("method", "rank")).alias("meta")] if "meta" in lists.columns else []
+    fused = lists.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * boost / (constant + F.col("rank"))), 9).alias("rrf"), F.array_join(F.array_sort(F.collect_set("method")), "+").alias("methods"), *meta)
     w = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

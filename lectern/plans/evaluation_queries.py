@@ -39,6 +39,11 @@ COMPLETE_SQL = " UNION ALL ".join(
 )
 
 
+def completeness_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the mean presence over the fields."""
+    return metadata_completeness(spark, sf_dir).agg(F.round(F.avg("presence"), 4).alias("completeness"))
+
+
 def temporal_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per video: chunks and the share that begin more than a second before the end of the one before (by index, then id)."""
     c = latest(table(spark, sf_dir, "youtube_chunks"), ["chunk_id"], ["video_id", "chunk_index", "start_sec", "end_sec"]).where("video_id is not null")

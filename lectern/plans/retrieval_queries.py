@@ -97,24 +97,33 @@ SELECT query_id, id AS doc_id, score, rank FROM r WHERE rank <= 10
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors ranked by cosine (weight 1.2) fused with those of the query's label ranked by nearness of id (weight 1)."""
-    v = _vectors(spark, sf_dir)
-    dense = _dense(spark, sf_dir, 10).select("query_id", "id", F.lit("dense").alias("method"), "rank", F.lit(1.2).alias("weight"))
-    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label")
-    from pyspark.sql import Window
-
-    near = q.join(v.select("id", "label"), "label").where("id <> query_id and abs(id - query_id) <= 200")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("id") - F.col("query_id")), "id"))).where("rank <= 10")
-    near = near.select("query_id", "id", F.lit("lexical").alias("method"), "rank", F.lit(1.0).alias("weight"))
-    return reciprocal_rank_fusion(dense.unionByName(near), 8).select("query_id", F.col("id").alias("vec_id"), F.round("rrf", 6).alias("rrf"), "methods", "rank")
-
-
-RRF_SQL = DENSE_SQL + """, n AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.vec_id - q.vec_id), v.vec_id) AS rank
-      FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND abs(v.vec_id - q.vec_id) <= 200),
-l AS (SELECT query_id, vec_id, 'dense' AS method, rank, 1.2::DOUBLE AS weight FROM r WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, 'lexical', rank, 1.0::DOUBLE FROM n WHERE rank <= 10),
-f AS (SELECT query_id, vec_id, round(sum(weight / (60 + rank)), 9) AS rrf, string_agg(DISTINCT method, '+' ORDER BY method) AS methods FROM l GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vec_id) AS rank FROM f)
-SELECT query_id, vec_id, round(rrf, 6) AS rrf, methods, rank FROM k WHERE rank <= 8
+    """Two lexical lists of the same course fused: documents ranked for the asked title by BM25 over their texts (weight 1.2), boosted where they have a title, and over their titles (weight 1)."""
+    d = table(spark, sf_dir, "documents").where("course_id is not null").select(F.col("course_id").alias("grp"), F.col("doc_id").alias("id"), "text", "title")
+    asked = d.where("id % 20 = 0").select(F.col("id").alias("query_id"), "grp", F.col("title").alias("text"))
+    boost = F.when(F.col("title").isNotNull(), F.lit(1.1)).otherwise(1.0)
+    by_text = bm25_topk(d.drop("title"), asked, 10).join(d.select("id", boost.alias("boost")), "id").select("query_id", "id", F.lit("text").alias("method"), "rank", F.lit(1.2).alias("weight"), "boost")
+    by_title = bm25_topk(d.select("grp", "id", F.col("title").alias("text")), asked, 10).select("query_id", "id", F.lit("title").alias("method"), "rank", F.lit(1.0).alias("weight"), F.lit(1.0).alias("boost"))
+    return reciprocal_rank_fusion(by_text.unionByName(by_title), 8).select("query_id", F.col("id").alias("doc_id"), F.round("rrf", 6).alias("rrf"), "methods", "rank")
+
+
+def _bm25_named(prefix: str, source: str) -> str:
+    """The ranking of BM25_SQL with all its parts named apart, over the tokens of ``source``."""
+    import re
+
+    body = BM25_SQL.strip().removeprefix("WITH ").rsplit("SELECT query_id, id AS doc_id", 1)[0]
+    body = body.replace(TOKENS_SQL.format("text") + " AS toks", TOKENS_SQL.format(source) + " AS toks")
+    for name in ("d", "w", "tf", "st", "df", "m", "q", "h", "s", "r"):
+        body = re.sub(rf"(?<![\w.']){name}(?= AS \()|(?<=FROM ){name}(?![\w.])|(?<=JOIN ){name}(?![\w.])", f"{prefix}_{name}", body)
+        if name != "tf":
+            body = re.sub(rf"(?<![\w.']){name}\.", f"{prefix}_{name}.", body)
+    return re.sub(r"(?<![\w.'])tf\.", f"{prefix}_tf.", body)
+
+
+RRF_SQL = "WITH " + _bm25_named("x", "text").strip() + ", " + _bm25_named("y", "title").strip() + """,
+l AS (SELECT query_id, x_r.id, 'text' AS method, rank, 1.2::DOUBLE * CASE WHEN title IS NOT NULL THEN 1.1::DOUBLE ELSE 1 END AS weight FROM x_r JOIN documents ON doc_id = x_r.id WHERE rank <= 10 UNION ALL SELECT query_id, id, 'title', rank, 1.0::DOUBLE FROM y_r WHERE rank <= 10),
+f AS (SELECT query_id, id AS doc_id, round(sum(weight / (60 + rank)), 9) AS rrf, string_agg(DISTINCT method, '+' ORDER BY method) AS methods FROM l GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM f)
+SELECT query_id, doc_id, round(rrf, 6) AS rrf, methods, rank FROM k WHERE rank <= 8
 """
 
 
