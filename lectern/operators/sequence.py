@@ -52,3 +52,31 @@ def sliding_windows(df: DataFrame, key: str, ordinal: str, size: int, overlap: i
     first = F.greatest(F.ceil((F.col(ordinal) - size + 1) / step), F.lit(0)).cast("long")
     upto = F.least(F.floor(F.col(ordinal) / step).cast("long"), last)
     return x.where(first <= upto).select("*", F.explode(F.sequence(first, upto)).alias("window_index")).drop("__k", "__most")
+
+
+def _carried(df: DataFrame, key: str, order: list[str], width: float, per_shard: Column, upto: Column, within: Column, out: str) -> DataFrame:
+    """Adds to each row of a (key, shard) what the shards before hold (``upto`` of the shards' values, along the key) combined with ``within`` (along the shard)."""
+    x = _sharded(df, order[0], width)
+    sums = x.groupBy(key, "__shard").agg(per_shard.alias("__one"))
+    sums = sums.select(F.col(key).alias("__key"), F.col("__shard").alias("__s"), upto.alias("__base"))
+    x = x.join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__shard") == F.col("__s")))
+    return x.withColumn(out, within).drop("__key", "__s", "__base", "__shard")
+
+
+def carry_forward(df: DataFrame, key: str, order: list[str], width: float, value: Column, out: str) -> DataFrame:
+    """Adds the last non-null ``value`` of the rows of a key up to each row (null before the first)."""
+    before = Window.partitionBy(key).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(key, "__shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("__v", value)
+    place = F.struct(*[F.col(c) for c in order])
+    last = F.max_by("__v", F.when(F.col("__v").isNotNull(), place))
+    return _carried(x, key, order, width, last, F.last("__one", ignorenulls=True).over(before), F.coalesce(F.last("__v", ignorenulls=True).over(along), F.col("__base")), out).drop("__v")
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], width: float, value: Column, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of a key before each row (0 for the first)."""
+    before = Window.partitionBy(key).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(key, "__shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = df.withColumn("__v", value)
+    zero = F.lit(0).cast("long")
+    return _carried(x, key, order, width, F.sum("__v"), F.coalesce(F.sum("__one").over(before), zero), F.coalesce(F.sum("__v").over(along), zero) + F.col("__base"), out).drop("__v")
