@@ -104,8 +104,9 @@ def _runs(bits: int):
             edge = np.concatenate(([True], change)) | np.concatenate((change, [True]))
             entity = pdf["__entity"].to_numpy()[row]
             inner = np.nonzero(~change)[0]
-            yield pd.DataFrame({"__entity": entity, "kind": "period", "edge": edge, "s": s + low, "e": e + low})
-            yield pd.DataFrame({"__entity": entity[inner], "kind": "gap", "edge": False, "s": (e + low)[inner], "e": (s + low)[inner + 1]})
+            shard = low >> bits
+            yield pd.DataFrame({"__entity": entity, "__shard": shard, "kind": "period", "edge": edge, "s": s + low, "e": e + low})
+            yield pd.DataFrame({"__entity": entity[inner], "__shard": shard[inner], "kind": "gap", "edge": False, "s": (e + low)[inner], "e": (s + low)[inner + 1]})
 
     return runs
 
@@ -116,13 +117,29 @@ def whole_units(seconds: Column, per_second: int = 1000) -> Column:
     return F.when(ok, F.round(F.when(ok, seconds) * per_second).cast("long"))
 
 
+def _united(cut: DataFrame, entity_type: str, bits: int, salts: int) -> DataFrame:
+    """Set and clear runs (``__entity, __shard, kind, edge, s, e``) of rows that are cut by shard (``__entity, __s, __e, __shard``)."""
+    kind = f"__entity {entity_type}, __shard long, __map binary"
+    maps = cut.mapInPandas(_build(bits), kind)
+    listed = F.collect_list("__map").alias("__maps")
+    salted = maps.groupBy("__entity", "__shard", (F.spark_partition_id() % salts).alias("__salt")).agg(listed).drop("__salt").mapInPandas(_unite, kind)
+    return salted.groupBy("__entity", "__shard").agg(listed).mapInPandas(_runs(bits), f"__entity {entity_type}, __shard long, kind string, edge boolean, s long, e long")
+
+
+def _stitched(edges: DataFrame) -> DataFrame:
+    """Edge runs with the chain of touching runs they belong to and the start of the next run along their entity."""
+    along = Window.partitionBy("__entity").orderBy("s")
+    chained = edges.withColumn("new", F.coalesce(F.lag("e").over(along) < F.col("s"), F.lit(True)).cast("int"))
+    return chained.withColumn("chain", F.sum("new").over(along)).withColumn("next", F.lead("s").over(along))
+
+
 def periods_and_gaps(df: DataFrame, entity: str, start_unit: Column, end_unit: Column, shard_bits: int = 22, salts: int = 16) -> DataFrame:
     """Periods and gaps per entity: columns ``entity``, ``kind`` ('period' or 'gap'), ``start_unit``, ``end_unit``.
 
     A row counts if entity and both units are present and the end lies after the start; units may be negative. Touching
     and nested rows make one period; repeated rows change nothing; an empty table gives an empty result; other columns
-    are ignored whatever their names. Cost follows the rows plus the shards they cover (a shard is 70 minutes at
-    millisecond units), and a task of the last union holds at most ``salts`` bitmaps per input task of one shard.
+    are ignored whatever their names. A row costs at most three pieces, however long it is: beyond three shards (of 70 minutes at millisecond units)
+    its whole shards are a run of a coarser bitmap whose unit is the shard. A task of the last union holds at most ``salts`` bitmaps per input task of one shard.
     """
     entity_type = df.schema[entity].dataType.simpleString()
     size = 1 << shard_bits
@@ -130,19 +147,30 @@ def periods_and_gaps(df: DataFrame, entity: str, start_unit: Column, end_unit: C
         F.col("__entity").isNotNull() & F.col("__s").isNotNull() & F.col("__e").isNotNull() & (F.col("__e") > F.col("__s"))
     )
     first, last = F.floor(F.col("__s") / size).cast("long"), F.floor((F.col("__e") - 1) / size).cast("long")
-    cut = rows.select("__entity", "__s", "__e", F.explode(F.sequence(first, last)).alias("__shard"))
-    kind = f"__entity {entity_type}, __shard long, __map binary"
-    maps = cut.mapInPandas(_build(shard_bits), kind)
-    listed = F.collect_list("__map").alias("__maps")
-    salted = maps.groupBy("__entity", "__shard", (F.spark_partition_id() % salts).alias("__salt")).agg(listed).drop("__salt").mapInPandas(_unite, kind)
-    runs = salted.groupBy("__entity", "__shard").agg(listed).mapInPandas(_runs(shard_bits), f"__entity {entity_type}, kind string, edge boolean, s long, e long")
-    along = Window.partitionBy("__entity").orderBy("s")
-    chained = runs.where("edge").withColumn("new", F.coalesce(F.lag("e").over(along) < F.col("s"), F.lit(True)).cast("int"))
-    chained = chained.withColumn("chain", F.sum("new").over(along)).withColumn("next", F.lead("s").over(along))
+    rows = rows.withColumn("__first", first).withColumn("__last", last)
+    pieces = F.when(F.col("__last") - F.col("__first") <= 2, F.sequence("__first", F.least(F.col("__last"), F.col("__first") + 2))).otherwise(F.array("__first", "__last"))
+    runs = _united(rows.select("__entity", "__s", "__e", F.explode(pieces).alias("__shard")), entity_type, shard_bits, salts)
+
+    # whole shards of long rows: shards are the units of a second, coarser level (at 2**22 shards a coarse shard, 2**52 units are 256 of them)
+    coarse_bits = min(31, max(22, 44 - shard_bits))
+    long = rows.where("__last - __first > 2").select("__entity", (F.col("__first") + 1).alias("__s"), F.col("__last").alias("__e"))
+    coarse_size = 1 << coarse_bits
+    coarse = long.select("*", F.explode(F.sequence(F.floor(F.col("__s") / coarse_size).cast("long"), F.floor((F.col("__e") - 1) / coarse_size).cast("long"))).alias("__shard"))
+    coarse = _united(coarse, entity_type, coarse_bits, salts).where("kind = 'period'")
+    whole = _stitched(coarse.where("edge")).groupBy("__entity", "chain").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("__entity", "s", "e").unionByName(coarse.where(~F.col("edge")).select("__entity", "s", "e"))
+
+    # shards under a coarse run have nothing of their own to tell: one row per shard is looked at along an entity
+    marks = runs.select("__entity", F.col("__shard").alias("at"), F.lit(None).cast("long").alias("upto")).distinct().unionByName(whole.select("__entity", F.col("s").alias("at"), F.col("e").alias("upto")))
+    over = Window.partitionBy("__entity").orderBy("at", F.col("upto").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    open_shards = marks.withColumn("covered", F.max("upto").over(over)).where(F.col("upto").isNull() & (F.col("covered").isNull() | (F.col("covered") <= F.col("at")))).select("__entity", F.col("at").alias("__shard"))
+    runs = runs.join(open_shards, ["__entity", "__shard"], "left_semi")
+
+    edges = runs.where("edge").select("__entity", "s", "e").unionByName(whole.select("__entity", (F.col("s") * size).alias("s"), (F.col("e") * size).alias("e")))
+    chained = _stitched(edges)
     across = chained.where((F.col("next") > F.col("e")) & (F.floor(F.col("next") / size) > F.floor((F.col("e") - 1) / size)))
     out = (
         chained.groupBy("__entity", "chain").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("__entity", F.lit("period").alias("kind"), "s", "e")
         .unionByName(across.select("__entity", F.lit("gap").alias("kind"), F.col("e").alias("s"), F.col("next").alias("e")))
         .unionByName(runs.where(~F.col("edge")).select("__entity", "kind", "s", "e"))
-    )
+    )
     return out.select(F.col("__entity").alias(entity), "kind", F.col("s").alias("start_unit"), F.col("e").alias("end_unit"))

@@ -34,6 +34,17 @@ def test_against_brute_force_with_small_shards(spark):
     assert run(spark, wide, shard_bits=22) == brute(rows)
 
 
+def test_very_long_intervals_cost_a_few_pieces(spark):
+    rows = [("a", 5, 10), ("a", 100, 10**15), ("a", 10**15, 10**15 + 7), ("a", 10**15 + 9, 2**52 - 1), ("a", 10**14, 10**14 + 5), ("b", -(10**15), 3), ("b", 4, 10**15), ("c", 0, 5 << 22), ("c", (5 << 22) + 1, 9 << 22), ("c", 3, 4), ("c", 10 << 22, (10 << 22) + 1)]
+    assert run(spark, [(*r, "x", 1) for r in rows]) == brute(rows)
+
+
+def test_many_long_and_short_intervals_against_brute_force(spark):
+    rnd = random.Random(17)
+    rows = [(rnd.choice("abcdef"), s, s + rnd.choice([1, 5, 30, 200, 700])) for s in (rnd.randint(-4000, 9000) for _ in range(150))]
+    assert run(spark, [(*r, "x", 1) for r in rows], shard_bits=5) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
 
