@@ -148,16 +148,18 @@ def exam_questions(text: Column) -> Column:
 def concept_boundaries(df: DataFrame, key: str, ordinal: str, text: str, topics: str, least: int = 4, most: int = 12, look: int = 4, shard: int = 240) -> DataFrame:
     """``key, start_ordinal, end_ordinal, topic``: runs of segments that end where the dominant topic of the next ``look`` segments changes.
 
-    A run has at least ``least`` and at most ``most`` segments; a stretch without topic ends none. Without topics, runs have ``least``. ``ordinal``
+    A run has at least ``least`` and at most ``most`` segments; a stretch without topic ends none, but a run that began without one ends where a topic comes. Its topic is the
+    one seen from its first segment ('' for none). Without topics, runs have ``least``. ``ordinal``
     counts the segments of a key from 0 without gaps. Shards of ``shard`` segments are read in tasks of their own, each with the segments its last
     windows look at; what a shard makes of any (segments since the last boundary, current topic) is carried along the key, so runs are those of one fold.
     """
 
     def step(since: int, current: int, now: int, named: bool) -> tuple[bool, int, int]:
         """Whether a boundary stands before the segment, and the state after it; topics are indices, -1 for none."""
-        cut = since > 0 and ((not named and since >= least) or since >= most or (now >= 0 and current >= 0 and now != current and since >= least))
-        since, current = (0, now) if cut else (since, current)
-        return cut, since + 1, current if current >= 0 else now
+        cut = since > 0 and ((not named and since >= least) or since >= most or (since >= least and now >= 0 and now != current))
+        if cut or since == 0:
+            since, current = 0, now
+        return cut, since + 1, current
 
     def outcome(k, pdf: pd.DataFrame) -> pd.DataFrame:
         """The dominant topic seen from each segment, and the state after the shard for each state before it (one value if it is the same for all)."""
@@ -167,10 +169,10 @@ def concept_boundaries(df: DataFrame, key: str, ordinal: str, text: str, topics:
         if not own:
             return pd.DataFrame(columns=["key", "part", "names", "first", "now", "after"])
         low = pdf["t"].fillna("").str.lower().tolist()
-        counts = [[x.count(n.lower()) for n in names] for x in low]
         nows = []
         for i in range(own):
-            total = [sum(c) for c in zip(*counts[i : i + look])] if names else []
+            ahead = " ".join(low[i : i + look])
+            total = [ahead.count(n.lower()) for n in names]
             nows.append(total.index(max(total)) if total and max(total) > 0 else -1)
         before = [(0, -1)] if k[1] == 0 else [(since, current) for since in range(1, most + 1) for current in range(-1, len(names))]
         at = {x: x for x in before}

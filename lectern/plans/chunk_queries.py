@@ -56,8 +56,20 @@ FROM b JOIN lectures USING (lecture_id)"""
 
 def concept_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _segments(spark, sf_dir).withColumn("salt", F.pmod(F.hash("segment_index"), F.lit(16)))
+    # salted and merged, so neither a long recording nor a large table of lectures is one task's or every task's burden
     lectures = table(spark, sf_dir, "lectures").select("lecture_id", "topics", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    return C.concept_boundaries(s.join(lectures, ["lecture_id", "salt"]), "lecture_id", "ordinal", "text", "topics").withColumnRenamed("key", "lecture_id")
+    return C.concept_boundaries(s.join(lectures.hint("merge"), ["lecture_id", "salt"]), "lecture_id", "ordinal", "text", "topics").withColumnRenamed("key", "lecture_id")
+
+
+CONCEPT_SQL = f"""
+WITH RECURSIVE s AS (SELECT lecture_id, ordinal, string_agg(lower(coalesce(text, '')), ' ') OVER (PARTITION BY lecture_id ORDER BY ordinal ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS ahead FROM {LATEST_SEGMENTS}),
+c AS (SELECT lecture_id, ordinal, coalesce(topics, []) AS names, list_transform(coalesce(topics, []), lambda t: (length(ahead) - length(replace(ahead, lower(t), ''))) // length(t)) AS n FROM s JOIN lectures USING (lecture_id)),
+w AS MATERIALIZED (SELECT lecture_id, ordinal, names, CASE WHEN len(n) > 0 AND list_max(n) > 0 THEN list_position(n, list_max(n)) ELSE 0 END AS seen FROM c),
+f AS (SELECT lecture_id, ordinal, 1 AS since, seen AS topic, true AS starts FROM w WHERE ordinal = 0
+ UNION ALL SELECT lecture_id, ordinal, CASE WHEN cut THEN 1 ELSE since + 1 END, CASE WHEN cut THEN seen ELSE topic END, cut FROM
+ (SELECT w.lecture_id, w.ordinal, since, topic, seen, (len(names) = 0 AND since >= 4) OR since >= 12 OR (since >= 4 AND seen > 0 AND seen <> topic) AS cut FROM f JOIN w ON w.lecture_id = f.lecture_id AND w.ordinal = f.ordinal + 1)),
+r AS (SELECT lecture_id, ordinal AS start_ordinal, coalesce(lead(ordinal) OVER (PARTITION BY lecture_id ORDER BY ordinal) - 1, (SELECT max(ordinal) FROM w WHERE w.lecture_id = f.lecture_id)) AS end_ordinal, topic FROM f WHERE starts)
+SELECT r.lecture_id, start_ordinal, end_ordinal, coalesce(names[topic], '') AS topic FROM r JOIN w ON w.lecture_id = r.lecture_id AND w.ordinal = r.start_ordinal"""
 
 
 def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -208,6 +220,6 @@ QUERIES = {
     "handwritten_segments": _fold("pages", C.heading_segments), "image_pack": _fold("documents", C.token_chunks), "youtube_pack": _fold("documents", C.timed_chunks), "title_chunks": _fold("documents", C.title_chunks),
 }
 SQL = {
-    "sliding_window_chunks": WINDOW_SQL, "lecture_summary_chunk": SUMMARY_SQL, "asof_chapter": CHAPTER_SQL, "pseudo_pages": PAGES_SQL, "word_windows": DOC_WINDOW_SQL, "keyword_tf_top12": KEYWORD_SQL, "exact_text_dedup": DEDUP_SQL,
+    "sliding_window_chunks": WINDOW_SQL, "lecture_summary_chunk": SUMMARY_SQL, "concept_boundaries": CONCEPT_SQL, "asof_chapter": CHAPTER_SQL, "pseudo_pages": PAGES_SQL, "word_windows": DOC_WINDOW_SQL, "keyword_tf_top12": KEYWORD_SQL, "exact_text_dedup": DEDUP_SQL,
     "prev_next_links": LINK_SQL, "youtube_vector_records": RECORD_SQL, "qna_parse_block": EXAM_SQL, "ocr_normalise": OCR_SQL, "ocr_page_text": PAGE_SQL,
 }

@@ -127,6 +127,12 @@ def hallucination_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", F.size("s").alias("sentences"), bare.alias("unsupported"), F.round(bare / F.size("s"), 6).alias("rate"))
 
 
+PROXY_SQL = f"""
+WITH a AS (SELECT id, coalesce(response, '') AS r, try_cast(CASE WHEN json_valid(sources) THEN json_extract(sources, '$.items[*]') END AS JSON[]) AS items FROM {LATEST_CHAT}),
+s AS (SELECT id, {JUDGING_SQL.format("array_to_string(list_transform(items, lambda i: coalesce(i ->> 'preview', '')), ' ')")} AS c, list_filter(string_split(regexp_replace(r, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '[^ \\t\\n\\r\\f\\x0B]+')) >= 4) AS s FROM a WHERE len(items) > 0)
+SELECT id, len(s)::INT AS sentences, len(list_filter(s, lambda x: NOT list_has_any({JUDGING_SQL.format('x')}, c)))::INT AS unsupported, round(len(list_filter(s, lambda x: NOT list_has_any({JUDGING_SQL.format('x')}, c))) / len(s), 6)::DOUBLE AS rate FROM s WHERE len(s) > 0"""
+
+
 def source_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of the document types among the sources of each course's answers."""
     a = _answers(spark, sf_dir).select("course_id", F.explode("items").alias("i"))
@@ -168,6 +174,11 @@ def overall_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one
 
 
+HEALTH_SQL = f"""
+SELECT 'completeness' AS gate, round(avg(presence), 6) AS value, avg(presence) >= 0.85 AS passed FROM ({COMPLETE_SQL}) UNION ALL SELECT 'keyword_recall', round(avg(recall), 6), avg(recall) >= 0.5 FROM ({RECALL_SQL})
+UNION ALL SELECT 'latency_p95', round(quantile_cont(value, 0.95), 6), quantile_cont(value, 0.95) <= 100 FROM events"""
+
+
 def course_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every course marked with whether anything was asked in it, and by how many users."""
     asked = table(spark, sf_dir, "chat_history").groupBy("course_id").agg(F.count_distinct("user_id").alias("users"))
@@ -301,6 +312,6 @@ QUERIES = {
 }
 SQL = {
     "chunk_size_stats": SIZE_SQL, "metadata_completeness": COMPLETE_SQL, "temporal_overlap_rate": OVERLAP_SQL, "confidence_stats": CONFIDENCE_SQL, "type_distribution": TYPE_SQL, "citation_coverage": CITATION_SQL, "keyword_recall": RECALL_SQL,
-    "source_diversity_entropy": DIVERSITY_SQL, "latency_percentiles_slo": LATENCY_SQL, "course_catalog_mark": CATALOG_SQL, "roster_join": ROSTER_SQL, "course_analytics": ANALYTICS_SQL, "recent_chat_memory": MEMORY_SQL, "history_search": SEARCH_SQL,
+    "hallucination_proxy": PROXY_SQL, "overall_health": HEALTH_SQL, "source_diversity_entropy": DIVERSITY_SQL, "latency_percentiles_slo": LATENCY_SQL, "course_catalog_mark": CATALOG_SQL, "roster_join": ROSTER_SQL, "course_analytics": ANALYTICS_SQL, "recent_chat_memory": MEMORY_SQL, "history_search": SEARCH_SQL,
     "index_stats_rollup": INDEX_SQL, "seed_union": SEED_SQL, "video_id_extract": VIDEO_SQL, "llm_json_extract": JSON_SQL, "stream_window_counts": STREAM_SQL, "stream_ingest_upsert": INGEST_SQL,
 }

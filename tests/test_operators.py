@@ -133,16 +133,19 @@ def test_materialized_tables_can_be_dropped(spark):
 
 
 def whole_lecture_runs(texts, names, least=4, most=12, look=4):
-    out, start, current = [], 0, None
-    for i in range(len(texts)):
-        seen = [sum(t.lower().count(n.lower()) for t in texts[i : i + look] if t) for n in names]
-        now = names[seen.index(max(seen))] if seen and max(seen) else None
-        since = i - start
-        if since and ((not names and since >= least) or since >= most or (now and current and now != current and since >= least)):
-            out.append((start, i - 1, current or ""))
-            start, current = i, now
-        current = current or now
-    return [*out, (start, len(texts) - 1, current or "")]
+    def seen(i):
+        ahead = " ".join((t or "").lower() for t in texts[i : i + look])
+        counts = [ahead.count(n.lower()) for n in names]
+        return names[counts.index(max(counts))] if counts and max(counts) else None
+
+    starts = [0]
+    topic = [seen(0)]
+    for i in range(1, len(texts)):
+        since, now = i - starts[-1], seen(i)
+        if since >= (most if names else least) or (names and since >= least and now and now != topic[-1]):
+            starts.append(i)
+            topic.append(now)
+    return [(s, e - 1, t or "") for s, e, t in zip(starts, [*starts[1:], len(texts)], topic)]
 
 
 def test_concept_boundaries_are_those_of_one_fold(spark):
