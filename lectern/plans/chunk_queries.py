@@ -214,7 +214,16 @@ r AS (SELECT *, CASE WHEN is_code THEN '[CODE:' || coalesce(language, 'unknown')
 SELECT document_id, page, count(*) AS blocks, sha256(string_agg(t, chr(10) || chr(10) ORDER BY bbox.y, bbox.x, block_uid)) AS text_hash, round(sum(round(confidence * 1000000)::BIGINT) / count(confidence) / 1000000, 6) AS confidence, coalesce(avg(confidence) < 60, false) AS low_confidence
 FROM r GROUP BY document_id, page"""
 
+def video_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of about 300 words of each video, chapter by chapter, with their times."""
+    from lectern.operators.video import pack_snippets
+
+    c = _chunks(spark, sf_dir, "video_id", "start_sec", "end_sec", "raw_text").select("video_id", F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), F.col("raw_text").alias("text"), F.col("chunk_id").alias("tie"))
+    return pack_snippets(c, table(spark, sf_dir, "video_meta").select("video_id", "chapters")).select("video_id", "chunk_no", "chapter_index", "chapter_title", "start_sec", "end_sec", "words", F.sha2("text", 256).alias("text_hash"))
+
+
 QUERIES = {
+    "video_chunks": video_chunks,
     "sliding_window_chunks": sliding_window_chunks, "lecture_summary_chunk": lecture_summaries, "concept_boundaries": concept_runs, "asof_chapter": asof_chapter, "pseudo_pages": document_pages, "word_windows": document_windows,
     "keyword_tf_top12": keyword_top12, "exact_text_dedup": exact_text_dedup, "prev_next_links": prev_next_links, "youtube_vector_records": youtube_records, "qna_parse_block": exam_blocks, "ocr_normalise": ocr_normalised, "ocr_page_text": page_texts,
     "handwritten_segments": _fold("pages", C.heading_segments), "image_pack": _fold("documents", C.token_chunks), "youtube_pack": _fold("documents", C.timed_chunks), "title_chunks": _fold("documents", C.title_chunks),
