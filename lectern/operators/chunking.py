@@ -161,7 +161,7 @@ def concept_boundaries(df: DataFrame, key: str, ordinal: str, text: str, topics:
             since, current = 0, now
         return cut, since + 1, current
 
-    def outcome(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def outcome(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """The dominant topic seen from each segment, and the state after the shard for each state before it (one value if it is the same for all)."""
         pdf = pdf.sort_values("o")
         names = list(pdf["topics"].iloc[0]) if pdf["topics"].iloc[0] is not None else []

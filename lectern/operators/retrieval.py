@@ -145,7 +145,7 @@ def mmr_select(candidates: DataFrame, k: int, lam: float = 0.6, strict_same_file
     ``strict_same_file``. Lists of at most k keep their order.
     """
 
-    def choose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         n = len(pdf)
         if n <= k:

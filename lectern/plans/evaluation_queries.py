@@ -296,6 +296,16 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_SQL = "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
 
+def stream_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.streaming.events import closed_windows
+
+    return closed_windows(spark, f"{sf_dir}/events.parquet")
+
+
+CLOSED_SQL = """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL)
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, event_type, events, total FROM w WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.streaming.events import ingest_upsert
 
@@ -308,10 +318,10 @@ QUERIES = {
     "chunk_size_stats": chunk_sizes, "metadata_completeness": metadata_completeness, "temporal_overlap_rate": temporal_overlap, "confidence_stats": confidence_stats, "type_distribution": type_distribution, "citation_coverage": citation_coverage,
     "keyword_recall": keyword_recall, "hallucination_proxy": hallucination_proxy, "source_diversity_entropy": source_diversity, "latency_percentiles_slo": latency_percentiles, "overall_health": overall_health,
     "course_catalog_mark": course_catalog, "roster_join": course_roster, "course_analytics": course_analytics, "recent_chat_memory": recent_chat_memory, "history_search": history_search, "index_stats_rollup": index_stats, "seed_union": seed_union,
-    "video_id_extract": video_ids, "llm_json_extract": sources_json, "stream_window_counts": stream_windows, "stream_ingest_upsert": stream_ingest,
+    "video_id_extract": video_ids, "llm_json_extract": sources_json, "stream_window_counts": stream_windows, "stream_closed_windows": stream_closed, "stream_ingest_upsert": stream_ingest,
 }
 SQL = {
     "chunk_size_stats": SIZE_SQL, "metadata_completeness": COMPLETE_SQL, "temporal_overlap_rate": OVERLAP_SQL, "confidence_stats": CONFIDENCE_SQL, "type_distribution": TYPE_SQL, "citation_coverage": CITATION_SQL, "keyword_recall": RECALL_SQL,
     "hallucination_proxy": PROXY_SQL, "overall_health": HEALTH_SQL, "source_diversity_entropy": DIVERSITY_SQL, "latency_percentiles_slo": LATENCY_SQL, "course_catalog_mark": CATALOG_SQL, "roster_join": ROSTER_SQL, "course_analytics": ANALYTICS_SQL, "recent_chat_memory": MEMORY_SQL, "history_search": SEARCH_SQL,
-    "index_stats_rollup": INDEX_SQL, "seed_union": SEED_SQL, "video_id_extract": VIDEO_SQL, "llm_json_extract": JSON_SQL, "stream_window_counts": STREAM_SQL, "stream_ingest_upsert": INGEST_SQL,
+    "index_stats_rollup": INDEX_SQL, "seed_union": SEED_SQL, "video_id_extract": VIDEO_SQL, "llm_json_extract": JSON_SQL, "stream_window_counts": STREAM_SQL, "stream_closed_windows": CLOSED_SQL, "stream_ingest_upsert": INGEST_SQL,
 }

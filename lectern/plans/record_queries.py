@@ -129,7 +129,19 @@ def score_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GAP_SQL = BM25_SQL.strip().replace("SELECT query_id, id AS doc_id, score, rank FROM r WHERE rank <= 10", "SELECT query_id, count(*) AS found, round(arg_min(score, rank) - arg_max(score, rank), 6) AS gap FROM r WHERE rank <= 10 GROUP BY query_id")
 
+def retrieve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end over all six namespaces: the titles of documents whose id is divisible by 20 as queries, mode by the kind of document."""
+    from lectern.operators.retrieve import retrieve
+
+    r = records(spark, sf_dir)
+    r = r.select(F.xxhash64("id").alias("id"), "source_key", "text", "source_file", F.abs(F.hash("id")).alias("position"), "marks_hint", "year_hint", "chunk_type", "has_table")
+    d = table(spark, sf_dir, "documents").where("doc_id % 20 = 0 and title is not null")
+    mode = F.when(F.col("source") == "exam_sheet", "quiz").when(F.col("source") == "lecture_notes", "summarize").otherwise("ask")
+    return retrieve(r, d.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"), mode.alias("mode")), signals=("exam", "table"))
+
+
 QUERIES = {
+    "retrieve_end_to_end": retrieve_all,
     "record_labels": record_labels, "record_serialised": record_serialised, "source_breakdown": source_breakdown, "live_chunk_report": live_chunk_report, "context_string": context_string, "score_gap": score_gap,
 }
 SQL = {

@@ -187,11 +187,26 @@ STATS_SQL = "WITH " + ENTRIES_SQL + """, g AS (SELECT course_id, mode FROM (SELE
 SELECT g.course_id, g.mode, count(e.id) AS entries FROM g LEFT JOIN e ON g.course_id = e.course_id AND g.mode = e.mode GROUP BY ALL"""
 
 
+def cache_exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that an earlier one answers: the same question (by its hash) in the same course and mode, not more than a day before."""
+    from lectern.operators.sequence import previous
+
+    e = _cache_entries(spark, sf_dir).select("id", "course_id", "mode", F.concat_ws("#", "course_id", query_hash(F.col("message"), F.col("mode"))).alias("key"), F.unix_micros("created_at").alias("at"))
+    x = previous(e, "key", ["at", "id"], 86_400e6 * 30, F.struct("id", "at"), "before")
+    hit = F.coalesce(F.col("at") - F.col("before.at") < 86_400_000_000, F.lit(False))
+    return x.select("id", "mode", hit.alias("hit"), F.when(hit, F.col("before.id")).alias("answered_by"))
+
+
+EXACT_SQL = "WITH " + ENTRIES_SQL + r""", k AS (SELECT *, lag(id) OVER w AS b, lag(created_at) OVER w AS t FROM (SELECT *, concat_ws('#', course_id, sha256(trim(regexp_replace(lower(message), '\s+', ' ', 'g')) || '|' || mode)) AS key FROM e) WINDOW w AS (PARTITION BY key ORDER BY created_at, id))
+SELECT id, mode, coalesce(created_at - t < INTERVAL 24 HOUR, false) AS hit, CASE WHEN created_at - t < INTERVAL 24 HOUR THEN b END AS answered_by FROM k"""
+
 QUERIES = {
+    "cache_exact_hits": cache_exact_hits,
     "dense_topk": dense_top8, "retrieval_metrics": retrieval_metrics, "semantic_cache_lookup": semantic_cache_lookup, "bm25_candidates": bm25_titles, "rrf_fusion": rrf_hybrid, "mmr_select": mmr_picks,
     "metadata_filter": metadata_filtered, "cache_query_hash": cache_query_hash, "cache_fifo_evict": cache_evicted, "cache_ttl_filter": cache_live_entries, "cache_stats_zero_fill": cache_stats,
 }
 SQL = {
+    "cache_exact_hits": EXACT_SQL,
     "dense_topk": DENSE_SQL + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 8", "retrieval_metrics": METRICS_SQL, "semantic_cache_lookup": CACHE_SQL, "bm25_candidates": BM25_SQL, "rrf_fusion": RRF_SQL,
     "metadata_filter": FILTER_SQL, "cache_query_hash": HASH_SQL, "cache_fifo_evict": EVICT_SQL, "cache_ttl_filter": LIVE_SQL, "cache_stats_zero_fill": STATS_SQL,
 }

@@ -1,7 +1,7 @@
 import datetime as dt
 
 from lectern.streaming.cache import run_cache
-from lectern.streaming.events import ingest_upsert, windowed_counts
+from lectern.streaming.events import closed_windows, ingest_upsert, windowed_counts
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -29,3 +29,15 @@ def test_windows_of_nothing_and_null_times(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(T0, "x", 1.0), (None, "x", 2.0)], "ts timestamp, event_type string, value double").write.parquet(src)
     assert [(r["events"], r["total"]) for r in windowed_counts(spark, src, str(tmp_path / "out")).collect()] == [(1, 1.0)]
+
+
+def test_late_events_are_left_out_and_hours_given_once(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    kind = "ts timestamp, event_type string, value double"
+    at = lambda h, m=0: T0 + dt.timedelta(hours=h, minutes=m)
+    spark.createDataFrame([(at(0, 5), "x", 1.0), (at(1, 5), "x", 2.0), (at(1, 55), "x", 3.0), (at(3, 0), "x", 4.0), (None, "x", 9.0)], kind).coalesce(1).write.parquet(src)
+    first = {r["hour"][11:13]: (r["events"], r["total"]) for r in closed_windows(spark, src, out).collect()}
+    assert first == {"00": (1, 1.0), "01": (2, 5.0)}
+    spark.createDataFrame([(at(1, 30), "x", 100.0), (at(2, 55), "x", 7.0), (at(5, 0), "x", 5.0)], kind).coalesce(1).write.mode("append").parquet(src)
+    again = {r["hour"][11:13]: (r["events"], r["total"]) for r in closed_windows(spark, src, out).collect()}
+    assert again == first | {"02": (1, 7.0), "03": (1, 4.0)}
