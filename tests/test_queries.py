@@ -8,8 +8,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+from __spark_entry__ import CORE
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = [importlib.import_module(f"lectern.plans.{m}") for m in ("interval_queries", "retrieval_queries", "chunk_queries", "evaluation_queries", "content_queries")]
+MODULES = [importlib.import_module(f"lectern.plans.{m}") for m in CORE]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 
