@@ -86,14 +86,13 @@ def skew_angle(a: np.ndarray, most: float = 5.0, step: float = 0.25) -> float:
 
 
 def deskew(a: np.ndarray, least: float = 0.3) -> np.ndarray:
-    """Columns shifted by the skew angle, if it is at least ``least`` degrees."""
+    """Columns shifted by the skew angle, if it is at least ``least`` degrees; what comes in at the edges is white."""
     angle = skew_angle(a)
     if abs(angle) < least:
         return a
-    out = np.empty_like(a)
-    for x in range(a.shape[1]):
-        out[:, x] = np.roll(a[:, x], -int(round(x * np.tan(np.radians(angle)))))
-    return out
+    rows = np.arange(a.shape[0])[:, None] + np.round(np.arange(a.shape[1]) * np.tan(np.radians(angle))).astype(int)[None, :]
+    inside = (rows >= 0) & (rows < a.shape[0])
+    return np.where(inside, np.take_along_axis(a, np.clip(rows, 0, a.shape[0] - 1), axis=0), 255).astype(a.dtype)
 
 
 def whiten(a: np.ndarray, above: int = 190) -> np.ndarray:

@@ -282,6 +282,19 @@ def sources_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", "pos", F.col("i.citation").alias("citation"), F.coalesce("i.document", F.lit("Course material")).alias("document"), F.coalesce(F.col("i.page"), F.lit(-1)).alias("page"), F.substring("i.preview", 1, 320).alias("preview"))
 
 
+def model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources taken from a model's text: fenced, with words around it, or plain; how many there are, -1 where no JSON can be read."""
+    from lectern.operators.boundary import json_answer
+
+    h = latest(table(spark, sf_dir, "chat_history"), ["id"], ["sources"], at="created_at")
+    n = F.length("sources") % 3
+    said = F.when(n == 0, F.col("sources")).when(n == 1, F.concat(F.lit("```json\n"), F.col("sources"), F.lit("\n```"))).otherwise(F.concat(F.lit("Here you are: "), F.col("sources"), F.lit(" Anything else?")))
+    x = h.withColumn("said", said)
+    return x.select("id", F.coalesce(F.size(json_answer("said", SOURCES)["items"]), F.lit(-1)).alias("items"))
+
+
+MODEL_JSON_SQL = f"SELECT id, coalesce(CASE WHEN json_valid(sources) THEN len(try_cast(json_extract(sources, '$.items') AS JSON[])) END, -1)::INT AS items FROM {LATEST_CHAT}"
+
 JSON_SQL = f"""
 WITH s AS (SELECT id, unnest(try_cast(json_extract(sources, '$.items[*]') AS JSON[])) AS i, unnest(range(len(try_cast(json_extract(sources, '$.items[*]') AS JSON[])))) AS pos FROM {LATEST_CHAT} WHERE json_valid(sources))
 SELECT id, pos::INT AS pos, (i ->> 'citation')::INT AS citation, coalesce(i ->> 'document', 'Course material') AS document, coalesce((i ->> 'page')::INT, -1) AS page, substring(i ->> 'preview', 1, 320) AS preview FROM s"""
@@ -318,10 +331,10 @@ QUERIES = {
     "chunk_size_stats": chunk_sizes, "metadata_completeness": metadata_completeness, "temporal_overlap_rate": temporal_overlap, "confidence_stats": confidence_stats, "type_distribution": type_distribution, "citation_coverage": citation_coverage,
     "keyword_recall": keyword_recall, "hallucination_proxy": hallucination_proxy, "source_diversity_entropy": source_diversity, "latency_percentiles_slo": latency_percentiles, "overall_health": overall_health,
     "course_catalog_mark": course_catalog, "roster_join": course_roster, "course_analytics": course_analytics, "recent_chat_memory": recent_chat_memory, "history_search": history_search, "index_stats_rollup": index_stats, "seed_union": seed_union,
-    "video_id_extract": video_ids, "llm_json_extract": sources_json, "stream_window_counts": stream_windows, "stream_closed_windows": stream_closed, "stream_ingest_upsert": stream_ingest,
+    "video_id_extract": video_ids, "source_list": sources_json, "llm_json_extract": model_json, "stream_window_counts": stream_windows, "stream_closed_windows": stream_closed, "stream_ingest_upsert": stream_ingest,
 }
 SQL = {
     "chunk_size_stats": SIZE_SQL, "metadata_completeness": COMPLETE_SQL, "temporal_overlap_rate": OVERLAP_SQL, "confidence_stats": CONFIDENCE_SQL, "type_distribution": TYPE_SQL, "citation_coverage": CITATION_SQL, "keyword_recall": RECALL_SQL,
     "hallucination_proxy": PROXY_SQL, "overall_health": HEALTH_SQL, "source_diversity_entropy": DIVERSITY_SQL, "latency_percentiles_slo": LATENCY_SQL, "course_catalog_mark": CATALOG_SQL, "roster_join": ROSTER_SQL, "course_analytics": ANALYTICS_SQL, "recent_chat_memory": MEMORY_SQL, "history_search": SEARCH_SQL,
-    "index_stats_rollup": INDEX_SQL, "seed_union": SEED_SQL, "video_id_extract": VIDEO_SQL, "llm_json_extract": JSON_SQL, "stream_window_counts": STREAM_SQL, "stream_closed_windows": CLOSED_SQL, "stream_ingest_upsert": INGEST_SQL,
+    "index_stats_rollup": INDEX_SQL, "seed_union": SEED_SQL, "video_id_extract": VIDEO_SQL, "source_list": JSON_SQL, "llm_json_extract": MODEL_JSON_SQL, "stream_window_counts": STREAM_SQL, "stream_closed_windows": CLOSED_SQL, "stream_ingest_upsert": INGEST_SQL,
 }

@@ -45,7 +45,7 @@ def _time(c: str) -> str:
 
 RECORDS_SQL = rf"""rec AS (
 SELECT 'doc_' || doc_id AS id, 'documents' AS source_key, text, course_id, title AS source_file, source AS section_title, NULL::VARCHAR AS page_range, NULL::VARCHAR AS topic, NULL::VARCHAR AS summary, NULL::VARCHAR AS keywords, NULL::VARCHAR AS chunk_type, NULL::INT AS year_hint, NULL::INT AS marks_hint,
- NULL::VARCHAR AS image_type, NULL::VARCHAR AS image_summary, NULL::VARCHAR AS lecture_title, NULL::VARCHAR AS start_label, NULL::VARCHAR AS end_label, NULL::VARCHAR AS professor, NULL::VARCHAR AS video_title, NULL::VARCHAR AS chapter_title, NULL::VARCHAR AS deep_link, NULL::BOOLEAN AS has_equations
+ NULL::VARCHAR AS image_type, NULL::VARCHAR AS image_summary, NULL::VARCHAR AS lecture_title, NULL::VARCHAR AS start_label, NULL::VARCHAR AS end_label, NULL::VARCHAR AS professor, NULL::VARCHAR AS video_title, NULL::VARCHAR AS chapter_title, NULL::VARCHAR AS deep_link, NULL::BOOLEAN AS has_equations, NULL::BOOLEAN AS has_diagrams
  FROM documents WHERE coalesce(source, '') <> 'exam_sheet'
 UNION ALL BY NAME SELECT 'doc_' || doc_id AS id, 'qna' AS source_key, text, course_id, title AS source_file, source AS section_title, 'passage' AS chunk_type, TRY_CAST(nullif(regexp_extract(text, '(?i)\[(\d{{1,9}})\s*(?:marks?|pts?|points?)\]', 1), '') AS INT) AS marks_hint,
  regexp_extract_all(text, '\b(?:19|20)\d{{2}}\b')[-1]::INT AS year_hint FROM documents WHERE source = 'exam_sheet'
@@ -53,7 +53,7 @@ UNION ALL BY NAME SELECT concat_ws('#', 'seg_' || s.lecture_id, s.segment_index:
  FROM (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY lecture_id, segment_index ORDER BY ingested_at DESC NULLS LAST) = 1) s LEFT JOIN lectures l ON l.lecture_id = s.lecture_id
 UNION ALL BY NAME SELECT 'yt_' || chunk_id AS id, 'youtube' AS source_key, raw_text AS text, course_id, video_title, start_label, end_label, chapter_title, deep_link, topic, summary FROM {LATEST_CHUNKS}
 UNION ALL BY NAME SELECT 'ocr_' || block_uid AS id, 'image' AS source_key, raw_text AS text, course_id, document_id AS source_file, page::VARCHAR AS page_range, block_type AS image_type, text AS image_summary FROM (SELECT * FROM ocr_blocks QUALIFY row_number() OVER (PARTITION BY block_uid ORDER BY ingested_at DESC NULLS LAST) = 1)
-UNION ALL BY NAME SELECT 'hw_' || page_id AS id, 'handwritten' AS source_key, transcript AS text, course_id, source_file, page_number::VARCHAR AS page_range, topic, summary, has_equations FROM (SELECT * FROM handwritten_pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ingested_at DESC NULLS LAST) = 1)),
+UNION ALL BY NAME SELECT 'hw_' || page_id AS id, 'handwritten' AS source_key, transcript AS text, course_id, source_file, page_number::VARCHAR AS page_range, topic, summary, has_equations, has_diagrams FROM (SELECT * FROM handwritten_pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ingested_at DESC NULLS LAST) = 1)),
 n AS (SELECT *, nullif(source_file, '') AS f, nullif(page_range, '') AS p, coalesce(text, '') AS t FROM rec),
 shown AS (SELECT *, array_to_string(list_filter(CASE source_key
   WHEN 'qna' THEN [coalesce(f, 'Q&A Sheet'), 'pp. ' || p, CASE WHEN year_hint <> 0 THEN year_hint::VARCHAR END, CASE WHEN marks_hint > 0 THEN '[' || marks_hint || ' marks]' END]
@@ -129,6 +129,17 @@ def score_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GAP_SQL = BM25_SQL.strip().replace("SELECT query_id, id AS doc_id, score, rank FROM r WHERE rank <= 10", "SELECT query_id, count(*) AS found, round(arg_min(score, rank) - arg_max(score, rank), 6) AS gap FROM r WHERE rank <= 10 GROUP BY query_id")
 
+def source_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each record told from the names and values of its stored metadata, and whether it is the kind it is kept under."""
+    from lectern.functions.labels import infer_source
+
+    r = records(spark, sf_dir)
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    held = F.array(entry("deep_link", F.col("deep_link")), entry("chunk_type", F.col("chunk_type")), entry("year_hint", F.col("year_hint")), entry("section_title", F.col("section_title")), entry("ink_quality", F.col("has_diagrams")), entry("ocr_confidence", F.col("image_type")))
+    meta = F.map_from_entries(F.filter(held, lambda x: x["value"].isNotNull()))
+    return r.select("id", infer_source(meta).alias("told"), (infer_source(meta) == F.col("source_key")).alias("same"))
+
+
 def retrieve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end over all six namespaces: the titles of documents whose id is divisible by 20 as queries, mode by the kind of document."""
     from lectern.operators.retrieve import retrieve
@@ -141,10 +152,11 @@ def retrieve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "retrieve_end_to_end": retrieve_all,
+    "retrieve_end_to_end": retrieve_all, "source_inference": source_inference,
     "record_labels": record_labels, "record_serialised": record_serialised, "source_breakdown": source_breakdown, "live_chunk_report": live_chunk_report, "context_string": context_string, "score_gap": score_gap,
 }
 SQL = {
+    "source_inference": "WITH " + RECORDS_SQL + ", t AS (SELECT id, source_key, CASE WHEN deep_link IS NOT NULL THEN 'youtube' WHEN has_diagrams IS NOT NULL THEN 'handwritten' WHEN image_type IS NOT NULL THEN 'image' WHEN chunk_type IN ('single_qa', 'multi_qa', 'passage') OR year_hint IS NOT NULL THEN 'qna' ELSE 'documents' END AS told FROM rec) SELECT id, told, told = source_key AS same FROM t",
     "record_labels": "WITH " + RECORDS_SQL + " SELECT id, source_key, citation, sha256(display) AS display_hash, sha256(lexical) AS lexical_hash FROM shown",
     "record_serialised": "WITH " + RECORDS_SQL + " SELECT id, source_key, sha256(substring(display, 1, 800)) AS display_hash, substring(coalesce(image_summary, ''), 1, 300) AS image_summary, coalesce(course_id, '') AS course_id, coalesce(source_file, '') AS source_file, coalesce(page_range, '') AS page_range, coalesce(section_title, '') AS section_title, coalesce(topic, '') AS topic, year_hint, marks_hint, coalesce(has_equations, false) AS has_equations FROM shown",
     "source_breakdown": "WITH " + RECORDS_SQL + " SELECT course_id, source_key, count(*) AS records FROM rec WHERE source_key <> 'audio' GROUP BY ALL",

@@ -200,13 +200,21 @@ def cache_exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXACT_SQL = "WITH " + ENTRIES_SQL + r""", k AS (SELECT *, lag(id) OVER w AS b, lag(created_at) OVER w AS t FROM (SELECT *, concat_ws('#', course_id, sha256(trim(regexp_replace(lower(message), '\s+', ' ', 'g')) || '|' || mode)) AS key FROM e) WINDOW w AS (PARTITION BY key ORDER BY created_at, id))
 SELECT id, mode, coalesce(created_at - t < INTERVAL 24 HOUR, false) AS hit, CASE WHEN created_at - t < INTERVAL 24 HOUR THEN b END AS answered_by FROM k"""
 
+MMR_SQL = DENSE_SQL.strip().replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """,
+c AS (SELECT query_id, vec_id AS id, score, label::VARCHAR AS file, vec_id AS pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS o FROM r WHERE rank <= 20),
+p AS (SELECT query_id, 1 AS pick, id, [{'id': id, 's': score, 'f': file, 'p': pos}] AS chosen FROM c WHERE o = 1
+ UNION ALL SELECT query_id, pick + 1, id, list_append(chosen, {'id': id, 's': score, 'f': file, 'p': pos}) FROM (SELECT query_id, pick, c.id, score, file, pos, o, chosen,
+  0.6::DOUBLE * score - 0.4::DOUBLE * list_max(list_transform(chosen, lambda x: CASE WHEN x.f = file THEN CASE WHEN abs(x.p - pos) <= 2 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END ELSE x.s * score END)) AS gain
+  FROM p JOIN c USING (query_id) WHERE pick < 6 AND NOT list_contains(list_transform(chosen, lambda x: x.id), c.id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, o) = 1)
+SELECT query_id, id, pick::INT AS pick FROM p"""
+
 QUERIES = {
     "cache_exact_hits": cache_exact_hits,
     "dense_topk": dense_top8, "retrieval_metrics": retrieval_metrics, "semantic_cache_lookup": semantic_cache_lookup, "bm25_candidates": bm25_titles, "rrf_fusion": rrf_hybrid, "mmr_select": mmr_picks,
     "metadata_filter": metadata_filtered, "cache_query_hash": cache_query_hash, "cache_fifo_evict": cache_evicted, "cache_ttl_filter": cache_live_entries, "cache_stats_zero_fill": cache_stats,
 }
 SQL = {
-    "cache_exact_hits": EXACT_SQL,
+    "cache_exact_hits": EXACT_SQL, "mmr_select": MMR_SQL,
     "dense_topk": DENSE_SQL + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 8", "retrieval_metrics": METRICS_SQL, "semantic_cache_lookup": CACHE_SQL, "bm25_candidates": BM25_SQL, "rrf_fusion": RRF_SQL,
     "metadata_filter": FILTER_SQL, "cache_query_hash": HASH_SQL, "cache_fifo_evict": EVICT_SQL, "cache_ttl_filter": LIVE_SQL, "cache_stats_zero_fill": STATS_SQL,
 }
