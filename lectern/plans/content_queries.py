@@ -128,6 +128,18 @@ def distinct_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("b").alias("questions"), F.size(keep_distinct(F.col("b"), tokens)).alias("kept"))
 
 
+def _jaccard_sql(a: str, b: str) -> str:
+    x, y = f"list_distinct({TOKENS_SQL.format(a)})", f"list_distinct({TOKENS_SQL.format(b)})"
+    return f"(CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0 ELSE len(list_intersect({x}, {y})) / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END)"
+
+
+DISTINCT_SQL = rf"""
+WITH p AS (SELECT doc_id, list_filter(string_split_regex(chr(10) || coalesce(text, ''), '
+(?:Q|Question )'), lambda x: regexp_matches(x, '^\d{{1,3}}[.:)]\s')) AS p FROM documents WHERE source = 'exam_sheet'),
+b AS (SELECT doc_id, list_transform(p, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\d{{1,3}}[.:)]\s', ''), '\s*\[\d{{1,3}} marks?\]', '', 'g'), '^\s+|\s+$', '', 'g')) AS b FROM p)
+SELECT doc_id, len(b)::INT AS questions, coalesce(len(list_reduce(list_transform(b, lambda q: [q]), lambda k, x: CASE WHEN len(list_filter(k, lambda y: {_jaccard_sql('y', 'x[1]')} >= 0.72)) > 0 THEN k ELSE list_append(k, x[1]) END, []::VARCHAR[])), 0)::INT AS kept FROM b"""
+
+
 def hybrid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: titles of documents whose id is divisible by 20 as queries; dense (stand-in embedding) and BM25 lists of all documents of the course, fused."""
     d = table(spark, sf_dir, "documents").where("course_id is not null").select("doc_id", "course_id", "title", "text")
@@ -166,4 +178,4 @@ QUERIES = {
     "plan_budgets": planned_budgets, "code_language_score": code_languages, "block_type": block_types, "citation_label": citation_labels, "metadata_boost": boosts, "topic_coverage": topic_coverage, "mode_adaptation": mode_mix,
     "qna_cluster": question_clusters, "qna_assemble": assembled_clusters, "subquery_dedup_greedy": distinct_questions, "hybrid_retrieve": hybrid_documents,
 }
-SQL = {"plan_budgets": _plan_sql(), "code_language_score": CODE_SQL, "block_type": TYPE_SQL, "citation_label": LABEL_SQL, "metadata_boost": BOOST_SQL, "topic_coverage": COVERAGE_SQL, "mode_adaptation": MODE_SQL}
+SQL = {"plan_budgets": _plan_sql(), "code_language_score": CODE_SQL, "block_type": TYPE_SQL, "citation_label": LABEL_SQL, "metadata_boost": BOOST_SQL, "topic_coverage": COVERAGE_SQL, "mode_adaptation": MODE_SQL, "subquery_dedup_greedy": DISTINCT_SQL}
