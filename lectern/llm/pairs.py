@@ -221,9 +221,9 @@ def pair_defects(pairs: DataFrame, model: np.ndarray, least_messages: int = 3, l
     clustered = members.join(often.unionByName(seldom).distinct().join(idle.where(F.col("idle") >= F.col("n") * idle_share), "cls"), "cls").select("opening")
 
     # short templates: whether their answers lack sources more often than answers do
-    at_large = rows.agg(F.avg(F.col("unsourced").cast("double")).alias("p"))
-    z = (F.col("unsourced") - F.col("bare") * F.col("p")) / F.sqrt(F.greatest(F.col("bare") * F.col("p") * (1 - F.col("p")), F.lit(1e-9)))
-    template = openings.join(composed.unionByName(clustered).distinct(), "opening").join(F.broadcast(at_large))  # one row
+    p = rows.agg(F.avg(F.col("unsourced").cast("double"))).first()[0] or 0.0
+    z = (F.col("unsourced") - F.col("bare") * p) / F.sqrt(F.greatest(F.col("bare") * (p * (1 - p)), F.lit(1e-9)))
+    template = openings.join(composed.unionByName(clustered).distinct(), "opening")
     revealed = template.where((F.size(w) >= least_words) | (z >= clearly)).select("opening")
     # one refusal may be the opening of a third of all answers
     salted = said.where(F.col("bare") & (F.col("taken") <= 1)).select("id", "opening", F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
