@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import word_list
+from lectern.operators.sequence import runs_of
 from lectern.session import materialize
 
 
@@ -161,38 +163,53 @@ def concept_boundaries(df: DataFrame, key: str, ordinal: str, text: str, topics:
             since, current = 0, now
         return cut, since + 1, current
 
-    def outcome(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The dominant topic seen from each segment, and the state after the shard for each state before it (one value if it is the same for all)."""
-        pdf = pdf.sort_values("o")
-        names = list(pdf["topics"].iloc[0]) if pdf["topics"].iloc[0] is not None else []
-        own = int((pdf["o"] // shard == k[1]).sum())
-        if not own:
-            return pd.DataFrame(columns=["key", "part", "names", "first", "now", "after"])
-        low = pdf["t"].fillna("").str.lower().tolist()
-        nows = []
-        for i in range(own):
-            ahead = " ".join(low[i : i + look])
-            total = [ahead.count(n.lower()) for n in names]
-            nows.append(total.index(max(total)) if total and max(total) > 0 else -1)
-        before = [(0, -1)] if k[1] == 0 else [(since, current) for since in range(1, most + 1) for current in range(-1, len(names))]
-        at = {x: x for x in before}
-        for now in nows:
-            after = {x: step(*x, now, bool(names))[1:] for x in set(at.values())}
-            at = {x: after[y] for x, y in at.items()}
-        codes = [since * (len(names) + 1) + current + 1 for since, current in (at[x] for x in before)]
-        return pd.DataFrame([(k[0], k[1], names, int(pdf["o"].iloc[0]), nows, codes if len(set(codes)) > 1 else codes[:1])], columns=["key", "part", "names", "first", "now", "after"])
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The state before each shard of a key."""
-        pdf = pdf.sort_values("part")
-        states, since, current = [], 0, -1
-        for after, n in zip(pdf["after"], pdf["n"]):
-            states.append((since, current))
-            code = int(after[0] if len(after) == 1 else after[(since - 1) * (n + 1) + current + 1])
-            since, current = code // (n + 1), code % (n + 1) - 1
-        out = pdf[["key", "part"]].assign(since=[x for x, _ in states], current=[x for _, x in states], last=False)
-        out.iloc[-1, out.columns.get_loc("last")] = True
-        return out
+    def outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each shard the dominant topic seen from each segment, and the state after it for each state before it (one value if it is the same for all)."""
+        rows = []
+        for (key, part), pdf in runs_of(batches, ["key", "part"]):
+            names = list(pdf["topics"].iloc[0]) if pdf["topics"].iloc[0] is not None else []
+            o = pdf["o"].tolist()
+            own = sum(x // shard == part for x in o)
+            if not own:
+                continue
+            low, lower = [(t or "").lower() for t in pdf["t"]], [n.lower() for n in names]
+            nows = []
+            for i in range(own):
+                ahead = " ".join(low[i : i + look])
+                total = [ahead.count(n) for n in lower]
+                nows.append(total.index(max(total)) if total and max(total) > 0 else -1)
+            before = [(0, -1)] if part == 0 else [(since, current) for since in range(1, most + 1) for current in range(-1, len(names))]
+            # states that have met stay together, so only the different ones are carried on
+            classes, owner = before, np.arange(len(before))
+            for now in nows:
+                after = [step(*x, now, bool(names))[1:] for x in classes]
+                classes = list(dict.fromkeys(after))
+                if len(classes) < len(after):
+                    at = {x: i for i, x in enumerate(classes)}
+                    owner = np.array([at[x] for x in after])[owner]
+            codes = [since * (len(names) + 1) + current + 1 for since, current in (classes[i] for i in owner)]
+            rows.append((key, part, names, o[0], nows, codes if len(classes) > 1 else codes[:1]))
+            if len(rows) >= 1000:
+                yield pd.DataFrame(rows, columns=["key", "part", "names", "first", "now", "after"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["key", "part", "names", "first", "now", "after"])
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The state before each shard of a key, along sorted rows; the last shard of a key is known when the next key comes."""
+        held, since, current = None, 0, -1
+        for pdf in batches:
+            rows = []
+            for key, part, after, n in zip(pdf["key"], pdf["part"], pdf["after"], pdf["n"]):
+                same = held is not None and held[0] == key
+                if held is not None:
+                    rows.append((*held, not same))
+                if not same:
+                    since, current = 0, -1
+                held = (key, part, since, current)
+                code = int(after[0] if len(after) == 1 else after[(since - 1) * (n + 1) + current + 1])
+                since, current = code // (n + 1), code % (n + 1) - 1
+            yield pd.DataFrame(rows, columns=["key", "part", "since", "current", "last"])
+        yield pd.DataFrame([(*held, True)] if held is not None else [], columns=["key", "part", "since", "current", "last"])
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -211,8 +228,9 @@ def concept_boundaries(df: DataFrame, key: str, ordinal: str, text: str, topics:
     kind = df.schema[key].dataType.simpleString()
     x = df.select(F.col(key).alias("key"), F.col(ordinal).cast("long").alias("o"), F.col(text).alias("t"), F.col(topics).alias("topics"))
     x = x.withColumn("part", F.explode(F.sequence(F.greatest(F.floor((F.col("o") - look + 1) / shard), F.lit(0)), F.floor(F.col("o") / shard))))
-    shards = materialize(x.groupBy("key", "part").applyInPandas(outcome, f"key {kind}, part long, names array<string>, first long, now array<int>, after array<int>"), "concept-shards")
-    states = shards.select("key", "part", "after", F.size("names").alias("n")).groupBy("key").applyInPandas(carry, f"key {kind}, part long, since int, current int, last boolean")
+    shards = x.repartition("key", "part").sortWithinPartitions("key", "part", "o").mapInPandas(outcomes, f"key {kind}, part long, names array<string>, first long, now array<int>, after array<int>")
+    shards = materialize(shards, "concept-shards")
+    states = shards.select("key", "part", "after", F.size("names").alias("n")).repartition("key").sortWithinPartitions("key", "part").mapInPandas(carry, f"key {kind}, part long, since int, current int, last boolean")
     states = states.select(F.col("key").alias("__key"), F.col("part").alias("__part"), "since", "current", "last")
     held = shards.join(states, F.col("key").eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__part")))
     return held.select("key", "names", "first", "now", "since", "current", "last").mapInPandas(runs, f"key {kind}, start_ordinal long, end_ordinal long, topic string")

@@ -6,10 +6,35 @@ only one summary row per shard is looked at along the key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, rows) of each run of equal ``keys`` in sorted batches, also across their ends; a run is held whole, so it must be bounded."""
+    held, key = [], None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        columns = [pdf[k].tolist() for k in keys]
+        marks = list(zip(*columns))
+        begin = 0
+        for i in range(1, len(marks) + 1):
+            if i < len(marks) and marks[i] == marks[begin]:
+                continue
+            if held and marks[begin] != key:
+                yield key, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            key = marks[begin]
+            held.append(pdf.iloc[begin:i])
+            begin = i
+    if held:
+        yield key, pd.concat(held) if len(held) > 1 else held[0]
+
+
 def _sharded(df: DataFrame, order: str, width: float) -> DataFrame:
     c = F.col(order).cast("double")
     shard = F.when(c.isNull(), F.lit(-(2**40))).when(F.isnan(c) | (F.abs(c) > 1e15), F.lit(2**40)).otherwise(F.floor(c / width))
