@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LT, GT = r"(?:<|&(?:amp;)*lt;)", r"(?:>|&(?:amp;)*gt;)"
-NOT_GT = r"(?:(?!>|&(?:amp;)*gt;)[\s\S])"
-TAG = re.compile(rf"{LT}(/?)\s*([a-zA-Z][a-zA-Z0-9]*)((?:\s|/){NOT_GT}{{0,300}}?)?{GT}")
+#: Attributes of any length, up to the tag's end; another tag's beginning ends the search, so reading stays linear.
+NOT_GT = r"(?:(?![<>]|&(?:amp;)*[lg]t;)[\s\S])"
+TAG = re.compile(rf"{LT}(/?)\s*([a-zA-Z][a-zA-Z0-9]*)((?:\s|/){NOT_GT}*)?{GT}")
 COMMENT = re.compile(rf"{LT}!--[\s\S]*?(?:--{GT}|\Z)")
 FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})[^\n`]*(?:\n|\Z)")
 RULE = re.compile(r"[ \t]*([-*_])(?:[ \t]*\1){2,}[ \t]*(?:\n|\Z)")
@@ -36,7 +37,7 @@ TEX_BEGIN = re.compile(r"\\begin\s*\{(\w+\*?)\}")
 TEX_NOTE = re.compile(r"\\(?:footnote|cite\w*|label|ref)\s*(?:\[[^\]\n]*\])?\s*\{[^{}\n]*\}")
 TEX_ITEM = re.compile(r"\\item\b(?:\[[^\]\n]*\])?")
 INLINE_CODE = re.compile(r"(`{1,2})(?!`)[^`\n]+\1(?!`)")
-DOLLAR = re.compile(r"\$(?=[^\s$])((?:\\.|[^$\\\n]|\n(?!\s*\n)){1,400}?)(?<=[^\s\\])\$(?![\w$])")
+DOLLAR = re.compile(r"\$(?=[^\s$])((?:\\.|[^$\\\n]|\n(?!\s*\n))+?)(?<=[^\s\\])\$(?![\w$])")
 #: Names of environments and tags by what they hold.
 CODE_ENVS, MATH_ENVS, TABLE_ENVS = {"verbatim", "lstlisting", "minted", "Verbatim", "alltt"}, {"equation", "equation*", "align", "align*", "displaymath", "math", "gather", "gather*", "eqnarray", "multline"}, {"tabular", "tabular*", "tabularx", "longtable", "array"}
 CODE_TAGS, CONTAINER_TAGS = {"pre", "syntaxhighlight", "source"}, {"div", "section", "article", "main", "nav", "aside", "header", "footer", "body", "td", "blockquote", "ul", "ol", "form"}
@@ -87,13 +88,13 @@ def _unescaped(t: str) -> str:
 
 
 NOTE_MARK = re.compile(r"\[\^\w+\]")
-MD_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
-WIKI_LINK = re.compile(r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]")
+MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^)\[\n]*\)")
+WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]")
 URL_LINK = re.compile(r"\[https?://\S+ ([^\]\n]*)\]")
 TEMPLATE = re.compile(r"\{\{(?:[^{}|\n]*\|)?([^{}\n]*)\}\}")
 TEX_STYLE = re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc)\s*\{([^{}]*)\}")
 QUOTES = re.compile(r"'{2,5}")
-STRONG = re.compile(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1")
+STRONG = re.compile(r"(\*\*|__|~~)(?=\S)((?:(?!\1).)+)(?<=\S)\1")
 EMPHASIS = re.compile(r"(?<![\w*])([*_])(?=[^\s*_])([^*_\n]+?)(?<=[^\s*_])\1(?![\w*])")
 TICKS = re.compile(r"`([^`\n]+)`")
 TEX_ESCAPE = re.compile(r"\\([#$%&_{}])")
@@ -367,7 +368,7 @@ class Reader:
                 self.heading(at, self.pos, int(name[1]))
         elif name in CODE_TAGS and not closing:
             end, go = _close(t, m.end(), re.compile(rf"(?i){LT}/\s*{name}\s*{GT}"), False)
-            self.element("code_block", at, re.sub(rf"(?i)^\s*{LT}code{NOT_GT}{{0,100}}?{GT}|{LT}/code\s*{GT}\s*$", "", t[m.end() : end]))
+            self.element("code_block", at, re.sub(rf"(?i)^\s*{LT}code{NOT_GT}*{GT}|{LT}/code\s*{GT}\s*$", "", t[m.end() : end]))
             self.pos = go
         elif name == "math" and not closing:
             end, go = _close(t, m.end(), re.compile(rf"(?i){LT}/\s*math\s*{GT}"), True)
@@ -404,7 +405,7 @@ class Reader:
                 self.say(" ")
 
 
-LINKED = re.compile(r"\[([^\]\n]*)\]\([^)\n]*\)|\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]")
+LINKED = re.compile(r"\[([^\[\]\n]*)\]\([^)\[\n]*\)|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]")
 ENDS = re.compile(r"[.!?][\"'”’»)\]}*_]*(?:\s|$)")
 
 

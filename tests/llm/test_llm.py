@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -106,6 +107,7 @@ MARKUP = [
     ("&lt;h1&gt;T&lt;/h1&gt;\n\n&amp;lt;p&amp;gt;x\n\n&lt;ul&gt;&lt;li&gt;a&lt;/li&gt;&lt;/ul&gt;", ["heading", "list_item"]),
     ("\\section{\\textbf{A}}\n\nx~\\cite{r} \\(y\\)\n\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}\n\\begin{equation}\nz\n\\end{equation}\n% note\n\\begin{verbatim}\n\\section{no}\n\\end{verbatim}\n\\begin{tabular}{l}\n1 \\\\\n\\end{tabular}", ["heading", "formula", "list_item", "list_item", "formula", "code_block", "table"]),
     ("```\nunclosed\n# no", ["code_block"]),
+    ("<h2 title='" + "long " * 200 + "'>T</h2><p>$" + "x + " * 300 + "y$ and <b", ["heading", "formula"]),
     ("plain text with 3 < 5 and 5 - 10 percent, R&D, C# and draft_note.\n- 33 -", []),
     ("", []), (None, []),
 ]
@@ -126,6 +128,13 @@ def test_markup_keeps_structure_and_drops_link_lists(spark):
     assert markup.markup_to_text(df.where("false"), "id", ["a"]).count() == 0
 
 
+@pytest.mark.parametrize("sign", ["**a ", "~~a ", "[a](", "[", "{{", "a <b ", "$ x ", "`a ", "<!--", "| a ", "&amp;", "<li>"])
+def test_markup_reading_is_linear(sign):
+    began = time.process_time()
+    markup.convert(sign * 30_000)
+    assert time.process_time() - began < 15
+
+
 def test_markup_scoring_decides():
     body = "<p>" + "The cell divides, grows, and divides again in the wall. " * 6 + "</p>"
     page = f"<body><nav><a href='/'>Home</a></nav><div class='content'><h2>Cells</h2>{body}<div>A short remark.</div><div class='sidebar'>Subscribe to our mailing list for news.</div><ul><li>one</li></ul></div><div id='newsletter'><p>Never miss a post, join today and tell a friend.</p></div><footer>All rights, all wrongs.</footer></body>"
