@@ -76,10 +76,10 @@ def record_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as they are returned: display text cut to 800 characters, summaries to 300, missing texts as ''."""
+    """Records as they are returned: display text cut to 800 characters, summaries to 300, missing texts as '', missing hints as -1."""
     r = records(spark, sf_dir)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return r.select("id", "source_key", F.sha2(F.substring(display_text(), 1, 800), 256).alias("display_hash"), F.substring(F.coalesce("image_summary", F.lit("")), 1, 300).alias("image_summary"), blank("course_id"), blank("source_file"), blank("page_range"), blank("section_title"), blank("topic"), "year_hint", "marks_hint", F.coalesce("has_equations", F.lit(False)).alias("has_equations"))
+    return r.select("id", "source_key", F.sha2(F.substring(display_text(), 1, 800), 256).alias("display_hash"), F.substring(F.coalesce("image_summary", F.lit("")), 1, 300).alias("image_summary"), blank("course_id"), blank("source_file"), blank("page_range"), blank("section_title"), blank("topic"), F.coalesce("year_hint", F.lit(-1)).alias("year_hint"), F.coalesce("marks_hint", F.lit(-1)).alias("marks_hint"), F.coalesce("has_equations", F.lit(False)).alias("has_equations"))
 
 
 def source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,7 @@ QUERIES = {
 SQL = {
     "source_inference": "WITH " + RECORDS_SQL + ", t AS (SELECT id, source_key, CASE WHEN deep_link IS NOT NULL THEN 'youtube' WHEN has_diagrams IS NOT NULL THEN 'handwritten' WHEN image_type IS NOT NULL THEN 'image' WHEN chunk_type IN ('single_qa', 'multi_qa', 'passage') OR year_hint IS NOT NULL THEN 'qna' ELSE 'documents' END AS told FROM rec) SELECT id, told, told = source_key AS same FROM t",
     "record_labels": "WITH " + RECORDS_SQL + " SELECT id, source_key, citation, sha256(display) AS display_hash, sha256(lexical) AS lexical_hash FROM shown",
-    "record_serialised": "WITH " + RECORDS_SQL + " SELECT id, source_key, sha256(substring(display, 1, 800)) AS display_hash, substring(coalesce(image_summary, ''), 1, 300) AS image_summary, coalesce(course_id, '') AS course_id, coalesce(source_file, '') AS source_file, coalesce(page_range, '') AS page_range, coalesce(section_title, '') AS section_title, coalesce(topic, '') AS topic, year_hint, marks_hint, coalesce(has_equations, false) AS has_equations FROM shown",
+    "record_serialised": "WITH " + RECORDS_SQL + " SELECT id, source_key, sha256(substring(display, 1, 800)) AS display_hash, substring(coalesce(image_summary, ''), 1, 300) AS image_summary, coalesce(course_id, '') AS course_id, coalesce(source_file, '') AS source_file, coalesce(page_range, '') AS page_range, coalesce(section_title, '') AS section_title, coalesce(topic, '') AS topic, coalesce(year_hint, -1) AS year_hint, coalesce(marks_hint, -1) AS marks_hint, coalesce(has_equations, false) AS has_equations FROM shown",
     "source_breakdown": "WITH " + RECORDS_SQL + " SELECT course_id, source_key, count(*) AS records FROM rec WHERE source_key <> 'audio' GROUP BY ALL",
     "live_chunk_report": LIVE_SQL, "context_string": CONTEXT_SQL, "score_gap": GAP_SQL,
 }
