@@ -11,7 +11,7 @@ from lectern.operators.boundary import call_model, hashed_embedding
 from lectern.operators.chunking import exam_questions
 from lectern.operators.clusters import centroid_clusters, keep_distinct
 from lectern.operators.planning import source_boost
-from lectern.operators.retrieval import bm25_topk, dense_topk, reciprocal_rank_fusion
+from lectern.operators.retrieval import bm25_topk, dense_topk_of_texts, reciprocal_rank_fusion
 from lectern.plans.evaluation_queries import LATEST_CHAT
 from lectern.plans.retrieval_queries import LATEST_CHUNKS, TOKENS_SQL
 from lectern.session import latest, table
@@ -144,9 +144,10 @@ def hybrid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: titles of documents whose id is divisible by 20 as queries; dense (stand-in embedding) and BM25 lists of all documents of the course, fused."""
     d = table(spark, sf_dir, "documents").where("course_id is not null").select("doc_id", "course_id", "title", "text")
     asked = d.where("doc_id % 20 = 0 and title is not null")
-    vectors = call_model(d.select(F.col("doc_id").alias("id"), "text"), "text", hashed_embedding, "array<double>", "vector").select("id", "vector")
-    queries = call_model(asked.select(F.col("doc_id").alias("id"), F.col("title").alias("text")), "text", hashed_embedding, "array<double>", "vector").select("id", "vector")
-    dense = dense_topk(vectors, queries, 20).select("query_id", "id", F.lit("dense").alias("method"), "rank", F.lit(1.0).alias("weight"))
+    embed = lambda df: call_model(df, "text", hashed_embedding, "array<double>", "vector")
+    vectors = embed(d.select(F.col("doc_id").alias("id"), "text")).select("id", "vector")
+    dense = dense_topk_of_texts(vectors, asked.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text")), 20, embed, count=d.count())
+    dense = dense.select("query_id", "id", F.lit("dense").alias("method"), "rank", F.lit(1.0).alias("weight"))
     lexical = bm25_topk(d.select(F.col("course_id").alias("grp"), F.col("doc_id").alias("id"), "text"), asked.select(F.col("doc_id").alias("query_id"), F.col("course_id").alias("grp"), F.col("title").alias("text")), 20)
     lexical = lexical.select("query_id", "id", F.lit("bm25").alias("method"), "rank", F.lit(1.2).alias("weight"))
     return reciprocal_rank_fusion(dense.unionByName(lexical), 8)

@@ -158,3 +158,56 @@ def test_concept_boundaries_are_those_of_one_fold(spark):
     for shard in (240, 3):
         got = [tuple(r) for r in concept_boundaries(df, "k", "o", "t", "names", shard=shard).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_dense_topk_joins_nothing_and_compares_billionths(spark):
+    # id 0 is less alike than the others by 5e-13 only, so it ties and comes first
+    near = [1.0, 1e-6]
+    rows = [(i, near if i == 0 else [1.0, 0.0]) for i in range(40)] + [(100, [0.0, 0.0]), (101, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    asked = spark.createDataFrame([(200, [2.0, 0.0]), (7, [1.0, 0.0]), (201, [0.0, 0.0])], "id bigint, vector array<double>")
+    got = dense_topk(df, asked, 3)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {q: [r["id"] for r in got.where(f"query_id = {q}").orderBy("rank").collect()] for q in (200, 7, 201)} == {200: [0, 1, 2], 7: [0, 1, 2], 201: [0, 1, 2]}
+    # one bucket or many: the same
+    many = dense_topk(df, asked, 3, block_rows=5, query_rows=1)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_texts_asked_by_many_are_searched_once_and_leave_out_their_own_asker(spark):
+    from lectern.operators.retrieval import dense_topk_of_texts
+
+    df = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(6)], "id bigint, vector array<double>")
+    asked = spark.createDataFrame([(0, "a"), (1, "a"), (50, "a")], "query_id bigint, text string")
+    got = dense_topk_of_texts(df, asked, 2, lambda x: x.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0))))
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got.collect()} == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (50, 1): 0, (50, 2): 1}
+
+
+def test_bm25_by_shards_is_exact(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from lectern.operators.retrieval import bm25_topk
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = [("x" if i % 4 else "y", i, " ".join(rng.choice(words, rng.integers(1, 9)))) for i in range(160)] + [("x", 500, None), ("y", 501, "")]
+    asks = [(1, "x", "w1 w2 w2"), (2, "y", "w3 w4"), (3, "x", "w5 unknown"), (4, "z", "w1"), (5, "x", None)]
+    want = set()
+    for q, g, text in asks:
+        own = {i: re.findall(r"\S+", t or "") for h, i, t in docs if h == g}
+        df = Counter(w for t in own.values() for w in set(t))
+        idf = {w: math.log((len(own) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        mean, avg = sum(idf.values()) / max(len(idf), 1), sum(map(len, own.values())) / max(len(own), 1)
+        raw = {}
+        for w, n in Counter((text or "").split()).items():
+            for i, t in own.items():
+                if f := t.count(w):
+                    raw[i] = raw.get(i, 0) + n * (idf[w] if idf[w] >= 0 else 0.25 * mean) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(t) / avg))
+        scored = sorted((-round(r / (max(raw.values()) if max(raw.values()) > 0 else 1), 6), i) for i, r in raw.items())
+        want |= {(q, i, k) for k, (_, i) in enumerate(scored[:7], 1)}
+    d, a = spark.createDataFrame(docs, "grp string, id bigint, text string"), spark.createDataFrame(asks, "query_id bigint, grp string, text string")
+    for rows in (3, 4096):
+        got = bm25_topk(d, a, 7, shard_rows=rows)
+        assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want
