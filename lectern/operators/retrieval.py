@@ -140,11 +140,12 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: f
     indexed in memory, the group's queries stream past it, and each leaves its k best and what may tie with them, so matches of terms and documents are never rows.
     """
     listed = docs.where("grp is not null").select("grp", "id", tokens(F.col("text")).alias("t"))
-    # one row a distinct term, and one without a term that carries the document's length; written once, since three sums read it
-    counted = F.concat(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("len"))), F.array(F.struct(F.lit("").alias("term"), F.size("t").alias("len"))))
-    df = materialize(listed.select("grp", F.explode(counted).alias("c")).groupBy("grp", F.col("c.term").alias("term")).agg(F.count("*").alias("df"), F.sum("c.len").alias("words")), "document-frequencies")
-    stats = df.where("term = ''").select("grp", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avg_len"))
-    idf = df.where("term <> ''").select("grp", "term", "df").join(stats, "grp").withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    # a row a distinct term, and one that is the document's length behind a blank; written once, since three sums read it
+    counted = F.explode(F.concat(F.array_distinct("t"), F.array(F.concat(F.lit(" "), F.size("t").cast("string"))))).alias("term")
+    df = materialize(listed.select("grp", counted).groupBy("grp", "term").agg(F.count("*").alias("df")), "document-frequencies")
+    length = F.startswith("term", F.lit(" "))
+    stats = df.where(length).groupBy("grp").agg(F.sum("df").alias("n"), (F.sum(F.col("df") * F.trim("term").cast("long")) / F.sum("df")).alias("avg_len"))
+    idf = df.where(~length).select("grp", "term", "df").join(stats, "grp").withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.groupBy("grp").agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", "grp", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "grp", "term").agg(F.count("*").alias("qtf"))
     asked = asked.join(idf, ["grp", "term"]).join(mean, "grp").withColumn("idf", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")))

@@ -211,3 +211,25 @@ def test_bm25_by_shards_is_exact(spark):
     for rows in (3, 4096):
         got = bm25_topk(d, a, 7, shard_rows=rows)
         assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_retrieve_answers_equal_queries_once_and_none_if_nobody_asks(spark):
+    from lectern import session
+    from lectern.operators.retrieve import retrieve
+
+    rows = [(i, "qna" if i % 3 else "documents", f"cell wall of leaf {i % 7} and root {i % 5}", f"f{i % 4}", i) for i in range(40)]
+    records = spark.createDataFrame(rows, "id bigint, source_key string, text string, source_file string, position int")
+    asked = [(100, "leaf 3", "ask"), (101, "leaf 3", "ask"), (102, "leaf 3", "quiz"), (3, "leaf 3", "ask"), (103, None, None), (104, None, None)]
+    queries = spark.createDataFrame(asked, "query_id bigint, query string, mode string")
+    got = retrieve(records, queries)
+    held = {n: spark.read.parquet([p for p in session._WRITTEN if f"lectern-{n}-" in p][-1]) for n in ("query-vectors", "dense-found")}
+    # 3 is a record, so it leaves itself out and has a list of its own
+    assert sorted(r["id"] for r in held["query-vectors"].collect()) == [3, 100, 102, 103]
+    assert "text" not in held["dense-found"].columns
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["source_key"], r["rrf"], r["methods"])
+    assert set(by) == {q for q, _, _ in asked} and all(sorted(x) == list(range(1, 9)) for x in by.values())
+    assert by[100] == by[101] and by[103] == by[104]
+    assert 3 not in {x[0] for x in by[3].values()} and 3 in {x[0] for x in by[100].values()}
+    assert retrieve(records, queries.where("false")).count() == 0
