@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -253,28 +254,44 @@ def mmr_select(candidates: DataFrame, k: int, lam: float = 0.6, strict_same_file
     ``strict_same_file``. Lists of at most k keep their order.
     """
 
-    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        n = len(pdf)
-        if n <= k:
-            picked = list(range(n))
-        else:
-            s = pdf["score"].to_numpy(float)
-            f, p = pdf["file"].fillna("").to_numpy(), pdf["position"].to_numpy(float)
-            same = f[:, None] == f[None, :]
-            if strict_same_file:
-                same &= (f != "")[:, None]
-            sim = np.where(same, np.where(np.abs(p[:, None] - p[None, :]) <= 2, 0.85, 0.5), s[:, None] * s[None, :])
-            picked, near = [0], sim[0].copy()
-            while len(picked) < k:
-                gain = lam * s - (1 - lam) * near
-                gain[picked] = -np.inf
-                picked.append(int(gain.argmax()))
-                near = np.maximum(near, sim[picked[-1]])
-        return pd.DataFrame({"query_id": key[0], "id": pdf["id"].iloc[picked].to_numpy(), "pick": range(1, len(picked) + 1)})
+    def choose(pdf: pd.DataFrame) -> np.ndarray:
+        s, f, p = pdf["score"].to_numpy(float), pdf["file"].fillna("").to_numpy(), pdf["position"].to_numpy(float)
+        if len(s) <= k:
+            return np.arange(len(s))
+        same = f[:, None] == f[None, :]
+        if strict_same_file:
+            same &= (f != "")[:, None]
+        sim = np.where(same, np.where(np.abs(p[:, None] - p[None, :]) <= 2, 0.85, 0.5), s[:, None] * s[None, :])
+        picked, near = [0], sim[0].copy()
+        while len(picked) < k:
+            gain = lam * s - (1 - lam) * near
+            gain[picked] = -np.inf
+            picked.append(int(gain.argmax()))
+            near = np.maximum(near, sim[picked[-1]])
+        return np.array(picked)
+
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # sorted by list, so a batch holds whole lists but for its last, which waits for the next
+        rest = None
+        for pdf in itertools.chain(batches, [None]):
+            if pdf is not None and not len(pdf):
+                continue
+            have = rest if pdf is None else pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if have is None:
+                return
+            starts = np.flatnonzero(have["number"].to_numpy() == 1)
+            ends = [*starts[1:], *([len(have)] if pdf is None else [])]
+            rest = have.iloc[starts[-1] :].reset_index(drop=True)
+            rows = [low + choose(have.iloc[low:high]) for low, high in zip(starts, ends)]
+            if rows:
+                chosen = have.iloc[np.concatenate(rows)][["query_id", "id"]]
+                yield chosen.assign(pick=np.concatenate([np.arange(1, len(r) + 1) for r in rows]))
 
     kind = candidates.schema["query_id"].dataType.simpleString(), candidates.schema["id"].dataType.simpleString()
-    return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {kind[0]}, id {kind[1]}, pick int")
+    # lists are told apart by the first row of each, whatever the type of their key
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    ranked = candidates.withColumn("number", F.row_number().over(w))
+    return ranked.select("query_id", "id", "score", "file", "position", "number").mapInPandas(lists, f"query_id {kind[0]}, id {kind[1]}, pick int")
 
 
 def keep_newest(entries: DataFrame, bucket: list[str], created: str, tie: str, most: int) -> DataFrame:

@@ -233,3 +233,18 @@ def test_retrieve_answers_equal_queries_once_and_none_if_nobody_asks(spark):
     assert by[100] == by[101] and by[103] == by[104]
     assert 3 not in {x[0] for x in by[3].values()} and 3 in {x[0] for x in by[100].values()}
     assert retrieve(records, queries.where("false")).count() == 0
+
+
+def test_diversity_lists_across_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"q{q}", q * 100 + i, float(rng.random()), f"f{rng.integers(3)}", int(rng.integers(20))) for q in range(30) for i in range(1 + q % 12)]
+    c = spark.createDataFrame(rows, "query_id string, id bigint, score double, file string, position int")
+    whole = sorted(map(tuple, mmr_select(c, 5).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(map(tuple, mmr_select(c, 5).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [len([r for r in whole if r[0] == f"q{q}"]) for q in range(30)] == [min(5, 1 + q % 12) for q in range(30)]
+    alone = [tuple(r) for q in (7, 23) for r in mmr_select(c.where(f"query_id = 'q{q}'"), 5).collect()]
+    assert set(alone) <= set(whole)
